@@ -2,46 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
+__all__ = ["BROADCAST_ROWS", "byte_chunks", "checked_join", "few_rows", "staged", "table", "texts_of"]
+
 #: Largest number of rows that checked_join() broadcasts.
 BROADCAST_ROWS = 100_000
 #: Text bytes handled at once inside a Python worker.
 CHUNK_BYTES = 2_000_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where it names none (tests, one machine), a local one is set once."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    known = sc.getCheckpointDir()
-    if not known:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="thicket-"))
-        known = sc.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def staged(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: it cuts lineage, survives lost executors, and
-    keeps column pruning.  The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/staged-{tag}-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +33,18 @@ def checked_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     return big.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows, for what is computed inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def byte_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column whose texts add up to about `limit` bytes (a longer text stands alone)."""
     sizes = pc.binary_length(texts)

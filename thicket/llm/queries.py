@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, prob_minhash
 from .common import table
 
 
@@ -14,8 +14,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.decide(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op8_prob_minhash": op8_prob_minhash,
 }
 
 ORACLES: dict[str, str] = {

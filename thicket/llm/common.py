@@ -45,13 +45,14 @@ def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def byte_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of an Arrow string column whose texts add up to about `limit` bytes (a longer text stands alone)."""
+def byte_chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int = 10_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow string column: at most `rows` texts that add up to about `limit` bytes (a longer text
+    stands alone)."""
     sizes = pc.binary_length(texts)
     start = total = 0
     for k, n in enumerate(sizes.to_pylist()):
         n = n or 0
-        if k > start and total + n > limit:
+        if k > start and (total + n > limit or k - start >= rows):
             yield start, k
             start, total = k, 0
         total += n

@@ -34,7 +34,7 @@ from .common import byte_chunks, texts_of
 PATH, WORDS, SHAPE = 128, 48, 8
 WIDTH = PATH + WORDS + SHAPE
 HIDDEN = 24
-TRAIN_PAGES, EPOCHS, SEED = 900, 8, 20
+TRAIN_PAGES, EPOCHS, SEED = 1_200, 10, 20
 BATCH = 256
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -320,7 +320,7 @@ class Generator:
         style = r.random()
         end = r.choice([" ***", "%%%", "###"]) if style < 0.05 else ""
         words = [self.word() + end for _ in range(r.randint(low, high))]
-        text = " ".join(words)
+        text = r.choice([" | ", " | ", " - "]).join(words) if 0.05 <= style < 0.15 else " ".join(words)
         if style > 0.95:
             return text.upper() + "!!"
         return text[:1].upper() + text[1:] + r.choice([".", ".", ".", "?", "!", ""])
@@ -349,7 +349,7 @@ class Generator:
         if role in ("menu", "header", "share") or role == "footer" and r.random() < 0.4 or role == "side" and r.random() < 0.5:
             kind = r.random()
             body = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>" if kind < 0.5 else "".join(f"<li>{x}</li>" for x in links) if kind < 0.6 else r.choice([" | ", " ", " &middot; "]).join(links)
-            body = (f"<h{r.choice('1234')}>{self.sentence(1, 3)}</h3>" if role in ("header", "side") and r.random() < 0.6 else "") + body
+            body = (f"<h{r.choice('2342341')}>{self.sentence(1, 3)}</h3>" if role in ("header", "side") and r.random() < 0.6 else "") + body
         elif role == "form":
             body = f"<label>{r.choice(known)}</label><input type='text'><p>{r.choice(known)}</p>" + (f"<p>{self.sentence()}</p>" if r.random() < 0.3 else "")
         elif role == "comments":

@@ -1,15 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary texts.  Every text
-is cut into overlapping windows, and each window is compressed with either dictionary: toxic passages come out shorter
-with the toxic one.  The difference of the two lengths is a window's evidence; a text's evidence is summed up by the mean
-over its windows, the mean over its strongest windows and the share of windows beyond a threshold.  Threshold and
-weights are calibrated on labelled texts, so that 0.5 is the threshold of the final score.
-
-Dictionaries and calibration learn from bounded samples of labelled rows (DOCS texts of each class chosen by a hash of
-the id, and WINDOWS windows of each class for a dictionary); every text is then scored whole.  Null counts as empty.
-Texts too short for evidence get the calibrated score of no evidence; with labels of one class only, or none, every score
-is 0.  A doc_id labelled more than once counts as toxic if half of its labels say so.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary texts.  A text is cut into windows, each window
+is compressed with either dictionary, and the difference of the two lengths is that window's evidence: toxic passages come
+out shorter with the toxic dictionary.  Windows are words with the space on either side (runs without spaces are cut every
+WINDOW bytes): in longer windows, the chance matches of ordinary words drown the few bytes that one toxic word saves.
+
+The toxic dictionary holds the words that are most over-represented in toxic texts; the ordinary one holds the ordinary
+words that the toxic dictionary compresses well, so that ordinary relatives of toxic words are a match for it.  Both are
+raw-content dictionaries that end with the same PREFIX, which also goes before every window: without a sure match, zstd
+stores short windows as they are, and small savings would not show.
+
+Thresholds are calibrated on other labelled texts than the dictionaries': every (difference, length) has its log-odds of
+being from a toxic text; a text's features are the mean and the shares of its windows beyond several log-odds, weighed by
+a logistic regression whose score is moved so that 0.5 is the cut (a wrongly rejected text counts as COST missed ones).
+
+It learns from bounded samples of labelled rows (DOCS texts of each class, by a hash of the id); every text is scored
+whole.  Null counts as empty; a text without windows has no evidence and scores below 0.5; with labels of one class only,
+or none, every score is 0.  A doc_id labelled more than once counts as toxic if half of its labels say so.
 """
 
 from __future__ import annotations
@@ -25,54 +32,84 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks, texts_of
 
-#: Labelled texts of each class that are used.
-DOCS = 3_000
-#: Windows of each class for its dictionary.
-WINDOWS = 24_000
-WINDOW = 96
-STEP = 64
-DICTIONARY = 32_768
-LEVEL = 3
-#: Differences in bytes that a threshold is chosen from.
-THRESHOLDS = range(1, 9)
+#: Labelled texts of each class; half of them for the dictionaries, half for the thresholds.
+DOCS = 4_000
+#: Words considered for either dictionary, and bytes that it may hold.
+TOXIC_WORDS, ORDINARY_WORDS = 2_000, 30_000
+TOXIC_BYTES, ORDINARY_BYTES = 4_000, 24_000
+LEAST_SCORE = 4.0
+WINDOW = 48
+COST = 3.0
+PREFIX = b"<<=~=~=|:|:|:[#]{1}{2}{3}{4}{5}^^\x01\x02\x03\x04\x05\x06\x07>>"
+EDGES = b".,;:!?\"'()[]*#%&$|-_"
+LOWEST, HIGHEST, LONGEST = -6, 15, 31
+CELLS = (HIGHEST - LOWEST + 1) * (LONGEST + 1)
+BEYOND = (0.7, 1.5, 2.0, 2.5, 3.0)
+REMEMBERED = 300_000
 
 
 def windows(text: str) -> list[bytes]:
-    """Overlapping windows of the lower-cased text's bytes; the last one ends with the text."""
-    b = text.lower().encode("utf-8", "surrogatepass")
-    last = max(0, len(b) - WINDOW)
-    return [b[at : at + WINDOW] for at in [*range(0, last, STEP), last]] if b else []
+    out = []
+    for word in text.lower().encode("utf-8", "surrogatepass").split():
+        if word := word.strip(EDGES):
+            out += [b" " + word[k : k + WINDOW] + b" " for k in range(0, len(word), WINDOW)] if len(word) > WINDOW else [b" " + word + b" "]
+    return out
+
+
+def compressor(words: list[bytes]):
+    """Length of a window compressed with a dictionary of these words."""
+    d = zstandard.ZstdCompressionDict(b" " + b" ".join(words) + b" " + PREFIX, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    p = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=14, chain_log=14, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    d.precompute_compress(compression_params=p)
+    compress = zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
+    return lambda window: len(compress(PREFIX + window))
+
+
+class Distance:
+    """The cell (difference, length) of a window; frequent windows are remembered."""
+
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
+        self.known: dict[bytes, int] = {}
+
+    def difference(self, window: bytes) -> int:
+        return self.ordinary(window) - self.toxic(window)
+
+    def cell(self, window: bytes) -> int:
+        found = self.known.get(window)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            d = min(HIGHEST, max(LOWEST, self.difference(window))) - LOWEST
+            found = self.known[window] = d * (LONGEST + 1) + min(LONGEST, len(window))
+        return found
+
+    def cells(self, text: str) -> np.ndarray:
+        cell = self.cell
+        return np.array([cell(w) for w in windows(text)], dtype=np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
-    ordinary: bytes
-    threshold: float
-    weights: tuple[float, ...]
+    toxic: list[bytes]
+    ordinary: list[bytes]
+    odds: np.ndarray
+    weights: np.ndarray
     shift: float
 
+    def score(self, distance: Distance, texts: list[str]) -> np.ndarray:
+        x = np.array([features(self.odds, distance.cells(t)) for t in texts]).reshape(len(texts), 2 + len(BEYOND))
+        return sigmoid(x @ self.weights + self.shift)
 
-class Scorer:
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.pair = []
-        for raw in (toxic, ordinary):
-            d = zstandard.ZstdCompressionDict(raw)
-            d.precompute_compress(level=LEVEL)
-            self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-
-    def differences(self, text: str) -> np.ndarray:
-        """Bytes that each window gains with the toxic dictionary over the ordinary one."""
-        toxic, ordinary = self.pair[0].compress, self.pair[1].compress
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], dtype=np.float64)
 
-
-def features(d: np.ndarray, threshold: float) -> list[float]:
-    """Mean, mean of the strongest eighth, share beyond the threshold, and whether there is any evidence."""
-    if not len(d):
-        return [0.0, 0.0, 0.0, 0.0]
-    top = np.sort(d)[-max(1, len(d) // 8) :]
-    return [d.mean(), top.mean(), float((d >= threshold).mean()), 1.0]
+def features(odds: np.ndarray, cells: np.ndarray) -> list[float]:
+    """Mean log-odds, mean of the positive ones, shares beyond the BEYOND."""
+    if not len(cells):
+        return [0.0] * (2 + len(BEYOND))
+    x = odds[cells]
+    return [x.mean(), np.maximum(x, 0).mean(), *((x >= t).mean() for t in BEYOND)]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -95,13 +132,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = windows(text.as_py() or "")
-            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["toxic", "w"])
-
-
 def labelled(labels: DataFrame, label: str, modulus: int, held: int, docs: int, id_col: str = "doc_id") -> DataFrame:
     """At most `docs` ids of each class, (id, label 0/1), without the held-out ones and rows without a label."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).where(F.crc32(F.col(id_col).cast("string")) % modulus != held)
@@ -110,85 +140,104 @@ def labelled(labels: DataFrame, label: str, modulus: int, held: int, docs: int,
     return picks[0].union(picks[1])
 
 
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, toxic) once for each text that has the window."""
+    for batch in batches:
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = list(set(windows(text.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([toxic] * len(found), pa.int32())], names=["w", "toxic"])
+
+
+def choose_words(counts: DataFrame, toxic: int, ordinary: int) -> tuple[list[bytes], list[bytes]]:
+    """Words of the two dictionaries, the most telling last (nearest to the window)."""
+    a, b = F.col("a") / toxic, F.col("b") / ordinary
+    p = (F.col("a") + F.col("b") + 1) / (toxic + ordinary + 2)
+    scored = counts.withColumn("z", (a - b) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / ordinary)))
+    bad = scored.where((F.col("a") >= 2) & (F.col("z") >= 2)).orderBy(F.desc("z"), "w").limit(TOXIC_WORDS).select("w", "z").collect()
+    tame = scored.where((F.col("b") >= 2) & (F.col("z") < 2)).orderBy(F.desc("b"), "w").limit(ORDINARY_WORDS).select("w", "b").collect()
+    first: list[bytes] = []
+    for r in bad:
+        w = bytes(r["w"])[1:-1]
+        if r["z"] >= LEAST_SCORE and sum(map(len, first)) + len(w) <= TOXIC_BYTES:
+            first.append(w)
+    draft = Distance(first[::-1], [])
+    gains = sorted(((r["b"] * draft.difference(bytes(r["w"])), bytes(r["w"])[1:-1]) for r in tame), reverse=True)
+    second, size = [], 0
+    for gain, w in gains:
+        if gain <= 0 or size > ORDINARY_BYTES:
+            break
+        second.append(w)
+        size += len(w) + 1
+    return first[::-1], second[::-1]
+
+
 def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", docs: int = DOCS) -> Model | None:
-    """None if there aren't labelled texts of both classes."""
+    """None if there aren't labelled texts of both classes in both halves."""
     chosen = labelled(labels, "toxic", 5, 0, docs, id_col).select(F.col(id_col).alias("_id"), "_label")
     texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
-    cut = texts.select("_label", "_text").mapInArrow(_window_rows, "toxic int, w binary")
-    raw = []
-    for k in (1, 0):
-        sample = cut.where(F.col("toxic") == k).orderBy(F.xxhash64("w")).limit(WINDOWS).select("w").toArrow().column("w").to_pylist()
-        if len(sample) < 100:
-            return None
-        raw.append(zstandard.train_dictionary(DICTIONARY, sample, level=LEVEL).as_bytes())
-    toxic, ordinary = raw
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(toxic, ordinary)
+    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2))
+    made, judged = (texts.where(half == k).select("_label", "_text") for k in (0, 1))
+    sizes = {r["_label"]: r["count"] for r in made.groupBy("_label").count().collect()}
+    if min(sizes.get(0, 0), sizes.get(1, 0)) < 10:
+        return None
+    counts = made.mapInArrow(_word_rows, "w binary, toxic int").groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    toxic, ordinary = choose_words(counts.where("a + b >= 2"), sizes[1], sizes[0])
+
+    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = Distance(toxic, ordinary)
         for batch in batches:
             rows = []
             for t in texts_of(batch.column(1)):
-                d = scorer.differences(t)
-                rows.append([x for threshold in THRESHOLDS for x in features(d, threshold)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+                h = np.bincount(distance.cells(t), minlength=CELLS).astype(np.float32)
+                rows.append((h / max(1.0, float(h.sum()))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["y", "h"])
 
-    found = texts.select("_label", "_text").mapInArrow(evidence, "y int, x array<double>").orderBy("y", "x").toArrow()
+    found = judged.mapInArrow(histograms, "y int, h binary").orderBy("y", "h").toArrow()
     y = np.array(found.column("y").to_pylist())
-    if len(set(y.tolist())) < 2:
+    if min((y == 1).sum(), (y == 0).sum()) < 10:
         return None
-    x = np.array(found.column("x").to_pylist()).reshape(len(y), len(THRESHOLDS), 4)
-    best = None
-    for k, threshold in enumerate(THRESHOLDS):
-        w, shift = fit_logistic(x[:, k], y)
-        p = sigmoid(x[:, k] @ w + shift)
-        loss = -(np.log(p[y == 1] + 1e-12).mean() + np.log(1 - p[y == 0] + 1e-12).mean())
-        if best is None or loss < best[0]:
-            best = (loss, threshold, w, shift, p)
-    _, threshold, w, shift, p = best
-    # the final threshold: where the two classes are told apart best, moved to 0.5
-    order = np.sort(p)
-    at = max(order[:: max(1, len(order) // 400)], key=lambda c: (p[y == 1] >= c).mean() + (p[y == 0] < c).mean())
-    shift -= float(np.log(np.clip(at, 1e-9, 1 - 1e-9) / (1 - np.clip(at, 1e-9, 1 - 1e-9)))) - 1e-9
-    return Model(toxic, ordinary, float(threshold), tuple(map(float, w)), float(shift))
-
-
-def score_batches(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(model.toxic, model.ordinary) if model else None
-    for batch in batches:
-        text, out = batch.column(batch.num_columns - 1), []
-        for start, stop in byte_chunks(text):
-            if scorer is None:
-                out.append(np.zeros(stop - start))
-            else:
-                x = np.array([features(scorer.differences(t), model.threshold) for t in texts_of(text, start, stop)])
-                out.append(sigmoid(x @ np.array(model.weights) + model.shift))
-        scores = np.concatenate(out) if out else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+    h = np.stack([np.frombuffer(x, np.float32) for x in found.column("h").to_pylist()]).astype(np.float64)
+    odds = np.log((h[y == 1].mean(axis=0) + 2e-5) / (h[y == 0].mean(axis=0) + 2e-5))
+    x = np.column_stack([h @ odds, h @ np.maximum(odds, 0), *(h @ (odds >= t) for t in BEYOND)])
+    w, shift = fit_logistic(x, y)
+    p = sigmoid(x @ w + shift)
+    cuts = np.unique(np.quantile(p, np.linspace(0, 1, 801)))
+    gain = [(p[y == 1] >= c).mean() - COST * (p[y == 0] >= c).mean() for c in cuts]
+    at = float(np.clip(np.mean(cuts[np.flatnonzero(np.array(gain) >= max(gain) - 1e-9)]), 1e-6, 1 - 1e-6))
+    none = sigmoid(np.array([shift]))[0]
+    at = max(at, float(none) + 1e-9)
+    return Model(toxic, ordinary, odds, w, float(shift - np.log(at / (1 - at))))
+
+
+def _scores(model: Model | None, distance: Distance | None, column: pa.Array) -> np.ndarray:
+    out = [model.score(distance, texts_of(column, a, b)) if model else np.zeros(b - a) for a, b in byte_chunks(column)]
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def score(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of df: id, held_out, score, predicted."""
-    model = df.sparkSession.sparkContext.broadcast(train(df, labels, text, id_col))
+    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, text, id_col))
     kind = df.schema[id_col].dataType.simpleString()
-    scored = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(lambda x: score_batches(x, model.value), f"_id {kind}, score double")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        distance = Distance(model.toxic, model.ordinary) if model else None
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, distance, batch.column(1)), pa.float64())], names=["_id", "score"])
+
+    out = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(scored, f"_id {kind}, score double")
     held = F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit(""))) % 5 == 0
-    return scored.select(F.col("_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(F.col("_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of df whose score is below 0.5, with df's columns."""
-    model = df.sparkSession.sparkContext.broadcast(train(df, labels, text, id_col))
+    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, text, id_col))
 
     def mild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value.toxic, model.value.ordinary) if model.value else None
+        model = shared.value
+        distance = Distance(model.toxic, model.ordinary) if model else None
         for batch in batches:
-            column, flags = batch.column(batch.schema.names.index(text)), []
-            for start, stop in byte_chunks(column):
-                if scorer is None:
-                    flags += [True] * (stop - start)
-                else:
-                    x = np.array([features(scorer.differences(t), model.value.threshold) for t in texts_of(column, start, stop)])
-                    flags += (sigmoid(x @ np.array(model.value.weights) + model.value.shift) < 0.5).tolist()
-            yield batch.filter(pa.array(flags, pa.bool_()))
+            yield batch.filter(pa.array(_scores(model, distance, batch.column(batch.schema.names.index(text))) < 0.5, pa.bool_()))
 
     return df.mapInArrow(mild, df.schema)

@@ -172,7 +172,18 @@ def test_quality_rules(spark):
     for x in got:
         assert x["base_failed"] == (x["n_words"] < 20 or 100 * x["n_repeat_words"] > 30 * x["n_words"])
         assert x["kept"] == (not x["base_failed"] and x["host_kept"])
-    assert {x["host"] for x in got if not x["host_kept"]} == {"bad"}
+    # the prior and the verdicts, from the hosts' own counts
+    hosts = defaultdict(list)
+    for x in got:
+        hosts[x["host"]].append(x["failed"])
+    rates = [sum(v) / len(v) for v in hosts.values()]
+    m, v = np.mean(rates), np.var(rates)
+    weight = min(max(m * (1 - m) / v - 1, quality_rules.PRIOR_WEIGHT[0]), quality_rules.PRIOR_WEIGHT[1])
+    for x in got:
+        f, n = sum(hosts[x["host"]]), len(hosts[x["host"]])
+        assert (x["host_failed"], x["host_docs"]) == (f, n) and x["host_rate"] == pytest.approx((f + m * weight) / (n + weight))
+        assert x["host_kept"] == (x["host_rate"] <= quality_rules.HOST_LIMIT)
+    assert not next(x for x in got if x["host"] == "bad")["host_kept"]
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
@@ -296,13 +307,19 @@ def test_mixing_meets_targets(spark):
     p = np.array([[x["posterior"][d] for d in names] for x in got])
     assert n @ p * [targets[d] for d in names] == pytest.approx((n * r) @ p, rel=1e-3)
     # the same descent in numpy
-    rate, base = np.ones(len(n)), n @ p
+    rate, base, step = np.ones(len(n)), n @ p, 1.0
+    goal = base * [targets[d] for d in names]
+    miss = lambda q: ((n * q) @ p - goal) / base
     for _ in range(mixing.ROUNDS):
-        step = ((n * rate) @ p - base * [targets[d] for d in names]) / base
-        if np.abs(step).max() < mixing.TOLERANCE:
+        if np.abs(miss(rate)).max() < mixing.TOLERANCE:
             break
-        rate = np.maximum(0, rate - p @ step)
-    assert r == pytest.approx(rate, abs=1e-9)
+        m = (p * (n * (rate > 0))[:, None]).T @ p
+        tried = np.maximum(0, rate - step * (p @ np.linalg.solve(m + 1e-9 * m.max() * np.eye(3), (n * rate) @ p - goal)))
+        if (miss(tried) ** 2).sum() > (miss(rate) ** 2).sum() * (1 - mixing.GAIN):
+            step /= 2
+        else:
+            rate, step = tried, min(1.0, 2 * step)
+    assert r == pytest.approx(rate, abs=1e-6)
     mixed = mixing.mix(df, domains, targets=targets)
     assert mixed.columns == df.columns
     assert Counter(x["doc_id"] for x in mixed.collect()) == Counter({x["doc_id"]: x["copies"] for x in got if x["copies"]})

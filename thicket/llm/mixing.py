@@ -2,13 +2,15 @@
 
 A naive Bayes classifier over hashed words, learned from a labelled table, gives every document a posterior over the
 labelled domains.  Document rates r >= 0 are then fitted so that the expected tokens of each domain,
-sum_d r_d * n_d * p_dk, meet that domain's target: projected gradient descent on the squared relative misses,
+T_k(r) = sum_d r_d * n_d * p_dk, meet that domain's target t_k: projected gradient descent on the squared misses,
 
-    r_d <- max(0, r_d - sum_k p_dk * (T_k(r) - t_k) / T_k(1)),        r = 1 at the start.
+    r_d <- max(0, r_d - s * sum_k p_dk * x_k),        M x = T(r) - t,        r = 1 at the start,
 
-In the metric weighted by n_d this is gradient descent with its largest safe step, as the matrix
-sum_d n_d p_dk p_dl / T_k(1) is stochastic.  One round is one aggregate of as many sums as there are domains; a
-document's rate is an expression in its posteriors and those sums, so nothing is joined, shuffled by document or kept.
+where M_kl = sum of n_d p_dk p_dl over the documents with r_d > 0 scales the gradient (the step that would meet the
+targets if no rate were cut off at 0), and s is halved while a step would not lessen the misses relative to T(1).  One
+round is one aggregate of a few sums for each pair of domains; a document's rate is an expression in its posteriors and
+the steps, so nothing is joined, shuffled by document or kept.  Targets that can't be met at once are met in the least
+squares sense.
 
 The classifier learns from at most DOCS labelled documents of each domain (by a hash of the id); everything else runs
 over all rows.  Null counts as an empty text; texts without words have the prior as posterior and carry no tokens.  A
@@ -30,8 +32,10 @@ DOCS = 3_000
 BUCKETS = 2_048
 #: Weight of the mean log likelihood ratio of a word in the posterior.
 SHARPNESS = 60.0
-ROUNDS = 60
+ROUNDS = 40
 TOLERANCE = 1e-4
+#: Least share of the loss that a step must take away.
+GAIN = 1e-3
 MOST_DOMAINS = 64
 SPACES = r"[\x20\x09-\x0D]+"
 #: Targets as multiples of each domain's expected tokens in the input.
@@ -104,24 +108,57 @@ def with_posteriors(df: DataFrame, model: Classifier, text: str = "text") -> Dat
     return out.withColumn("_logs", model.posterior(F.col("_f"), F.col("_n"))).withColumn("_p", softmax(F.col("_logs"))).drop("_w", "_f", "_logs")
 
 
+def solve(m: list[list[float]], v: list[float]) -> list[float]:
+    """Gaussian elimination with a small ridge; domains without tokens get 0."""
+    n = len(v)
+    ridge = 1e-9 * max(max(m[k][k] for k in range(n)), 1e-300)
+    rows = [[*(m[i][j] + (ridge if i == j else 0.0) for j in range(n)), v[i]] for i in range(n)]
+    for k in range(n):
+        pivot = max(range(k, n), key=lambda i: abs(rows[i][k]))
+        rows[k], rows[pivot] = rows[pivot], rows[k]
+        for i in range(n):
+            if i != k and rows[k][k]:
+                f = rows[i][k] / rows[k][k]
+                rows[i] = [x - f * y for x, y in zip(rows[i], rows[k], strict=True)]
+    return [rows[k][n] / rows[k][k] if rows[k][k] else 0.0 for k in range(n)]
+
+
 def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: dict[str, float]) -> tuple[Column, list[dict[str, float]]]:
-    """The rate as an expression in _p, and the totals after each round."""
+    """The rate as an expression in _p, and the totals after each accepted step."""
+    size = range(len(domains))
+    cells = [(k, j) for k in size for j in size if k <= j]
+
+    def sums(rate: Column) -> tuple[list[float], list[list[float]]]:
+        p, held = F.col("_p"), F.when(F.col("_r") > 0, F.col("_n")).otherwise(0)
+        found = [F.sum(F.col("_r") * F.col("_n") * p[k]) for k in size] + [F.sum(held * p[k] * p[j]) for k, j in cells]
+        row = [float(x or 0.0) for x in posteriors.select("_n", "_p", rate.alias("_r")).agg(*[c.alias(f"s{i}") for i, c in enumerate(found)]).first()]
+        m = [[0.0] * len(domains) for _ in size]
+        for (k, j), x in zip(cells, row[len(domains) :], strict=True):
+            m[k][j] = m[j][k] = x
+        return row[: len(domains)], m
+
+    rate, step = F.lit(1.0), 1.0
+    now, m = sums(rate)
+    base, goal = now, [targets.get(d, 1.0) * b for d, b in zip(domains, now, strict=True)]
+
+    def misses(t: list[float]) -> list[float]:
+        return [(x - g) / b if b > 0 else 0.0 for x, g, b in zip(t, goal, base, strict=True)]
 
-    def totals(rate: Column) -> list[float]:
-        row = posteriors.select("_n", "_p", rate.alias("_r")).agg(*[F.coalesce(F.sum(F.col("_r") * F.col("_n") * F.col("_p")[k]), F.lit(0.0)).alias(f"t{k}") for k in range(len(domains))]).first()
-        return [float(x) for x in row]
+    def loss(t: list[float]) -> float:
+        return sum(x * x for x in misses(t))
 
-    rate = F.lit(1.0)
-    base = now = totals(rate)
-    goal = [targets.get(d, 1.0) * b for d, b in zip(domains, base, strict=True)]
     history = [dict(zip(domains, base, strict=True))]
     for _ in range(ROUNDS):
-        step = [(t - g) / b if b > 0 else 0.0 for t, g, b in zip(now, goal, base, strict=True)]
-        if max(map(abs, step)) < TOLERANCE:
+        if max(map(abs, misses(now))) < TOLERANCE or step < 1e-3:
             break
-        move = sum((F.col("_p")[k] * F.lit(s) for k, s in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        now = totals(rate)
+        x = solve(m, [t - g for t, g in zip(now, goal, strict=True)])
+        move = sum((F.col("_p")[k] * F.lit(step * x[k]) for k in size), F.lit(0.0))
+        tried = F.greatest(F.lit(0.0), rate - move)
+        then, m_then = sums(tried)
+        if loss(then) > loss(now) * (1 - GAIN):
+            step /= 2
+            continue
+        rate, now, m, step = tried, then, m_then, min(1.0, 2 * step)
         history.append(dict(zip(domains, now, strict=True)))
     return rate, history
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import NAN
+from ..operators.ranking import dense_index
 
 
 def sign_words(vector: str | Column, size: int) -> Column:
@@ -33,11 +34,10 @@ def popcount(words: str | Column, count: int = 1) -> Column:
 
 
 def fingerprints(df: DataFrame, vector: str, size: int, order: str, label: str | None = None) -> DataFrame:
-    """(idx, words, popcount[, label]) with idx = 0..n-1 in the order of a key."""
-    n_words = (size + 63) // 64
-    idx = (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint")
-    out = df.select(idx.alias("idx"), sign_words(vector, size).alias("words"), *([F.col(label).alias("label")] if label else []))
-    return out.withColumn("popcount", popcount("words", n_words))
+    """(idx, words, popcount[, label]) with idx = 0..n-1 in the order of a key; numbered once, by a range sort."""
+    packed = df.select(F.col(order).alias("_order"), sign_words(vector, size).alias("words"), *([F.col(label).alias("label")] if label else []))
+    out = dense_index(packed.withColumn("popcount", popcount("words", (size + 63) // 64)), "idx", "_order")
+    return out.select("idx", "words", "popcount", *(["label"] if label else []))
 
 
 def token_fingerprint(text: str | Column, size: int) -> Column:

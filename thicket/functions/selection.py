@@ -20,7 +20,7 @@ SOLVENT = "SO4 PO4 GOL EDO DMS ACT PEG FMT".split()
 CAPS = "ACE NME NH2".split()
 BACKBONE = "N CA C O OXT".split()
 METALS = "LI NA K MG CA MN FE CO NI CU ZN CD HG".split()
-_TOKEN = re.compile(r"\s*(?:(\()|(\))|([A-Za-z_]+)|([-+]?\d+(?:\.\d+)?(?:-\d+)?)|('[^']*'|\"[^\"]*\")|([<>=!]=?|[,+:*]))")
+_TOKEN = re.compile(r"\s*(?:(\()|(\))|([A-Za-z_][A-Za-z0-9_*']*)|([-+]?\d+(?:\.\d+)?(?:-\d+)?)|('[^']*'|\"[^\"]*\")|([<>=!]=?|[,+:*]))")
 FIELDS = {"NAME": "name", "RESN": "resn", "CHAIN": "chain", "ELEM": "elem", "ALT": "alt", "RESI": "resi", "INDEX": "atom", "ID": "atom", "B_FACTOR": "b_factor", "FRAGMENT": "fragment"}
 NUMBERS = {"RESI", "INDEX", "ID", "B_FACTOR", "FRAGMENT"}
 DISTANCES = ("AROUND", "EXPAND", "BEYOND")

@@ -89,13 +89,36 @@ def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_
     return nodes.union(e.select(F.col("dst"), F.col("dst")).distinct())
 
 
-def independent_set(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _first_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(idx, centre) of a whole graph given as (src, dst, pri of src), node by node from the highest priority down."""
+    parts = [np.stack([b.column(k).to_numpy() for k in range(3)]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    src, dst, pri = np.concatenate(parts, axis=1)
+    nodes, first, flat = np.unique(src, return_index=True, return_inverse=True)
+    order = np.argsort(flat, kind="stable")
+    neighbour = np.searchsorted(nodes, dst[order])
+    bounds = np.searchsorted(flat[order], np.arange(len(nodes) + 1))
+    state = np.zeros(len(nodes), np.int8)
+    for k in np.argsort(-pri[first], kind="stable").tolist():
+        if state[k] == 0:
+            state[neighbour[bounds[k] : bounds[k + 1]]] = 2
+            state[k] = 1
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(state == 1)], names=["idx", "centre"])
+
+
+def independent_set(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """The lexicographically first maximal independent set.
 
     nodes: (idx, pri) with distinct priorities; edges: both directions of (src, dst).  Returns (idx, pri, centre).
-    Each round admits every undecided node whose priority beats those of its undecided neighbours, then rules out
-    their neighbours; this equals going through the nodes one by one from the highest priority down.
+    A graph of at most `local_edges` edges, which are counted, is gone through in one task.  Beyond that, each round
+    admits every undecided node whose priority beats those of its undecided neighbours, then rules out their
+    neighbours; this equals going through the nodes one by one from the highest priority down.
     """
+    if edges.limit(local_edges + 1).count() <= local_edges:
+        whole = edges.join(nodes.select(F.col("idx").alias("src"), "pri"), "src").select("src", "dst", "pri")
+        found = whole.coalesce(1).mapInArrow(_first_set, "idx bigint, centre boolean")
+        return staged(nodes.join(found, "idx", "left").select("idx", "pri", F.coalesce("centre", F.lit(True)).alias("centre")), "mis")
     state = staged(nodes.select("idx", "pri", F.lit(None).cast("boolean").alias("centre")), "mis")
     edges = staged(edges.select("src", "dst"), "mis-edges")
     for _ in range(max_rounds):

@@ -36,7 +36,7 @@ def block_pairs(a: DataFrame, b: DataFrame, n_a: int, n_b: int, triangle: bool)
     return left.alias("a").join(right.hint("shuffle_hash").alias("b"), on)
 
 
-def pdist(items: DataFrame, metric: metrics.Metric, comparison: str, kind: str = "distance", cutoff: float | None = None, n: int | None = None, keep_all: bool = False, **params) -> PairFrame:
+def pdist(items: DataFrame, metric: metrics.Metric, comparison: str, /, kind: str = "distance", cutoff: float | None = None, n: int | None = None, keep_all: bool = False, **params) -> PairFrame:
     """Distance of every pair i < j of items (idx 0..n-1, ...).  cutoff keeps d <= cutoff; keep_all (an output for all
     pairs) wins over it."""
     if cutoff is not None and kind != "distance":
@@ -90,7 +90,8 @@ def similarity_join(items: DataFrame, cutoff: float, size: int, n_words: int = 1
 
     Prefix filter (Bayardo et al., 2007): with the bits ordered from rare to frequent, two fingerprints of similarity t
     or more share a bit among the first p - ceil(t * p) + 1 of each.  Candidates come from an equi-join on those bits
-    with the size bound t * p <= q <= p / t, each pair once (at its first common prefix bit).
+    with the size bound t * p <= q <= p / t, each pair once (at its first common prefix bit).  Where bits are so common
+    that the prefixes' buckets hold more pairs than there are, the blocks of pdist() are used instead.
     """
     from ..functions.fingerprints import bits_of
 
@@ -105,6 +106,9 @@ def similarity_join(items: DataFrame, cutoff: float, size: int, n_words: int = 1
     prefixed = items.join(ranked, "idx").withColumn("prefix", F.slice(F.transform("all", lambda x: x["bit"]), F.lit(1), length.cast("int"))).drop("all")
     prefixed = staged(prefixed.select("idx", "words", "popcount", "prefix"), "prefixes")
     spread = prefixed.withColumn("bit", F.explode("prefix"))
+    held = spread.groupBy("bit").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0))).first()[0]
+    if held > n * (n - 1) / 2:
+        return pdist(items, metrics.fingerprint("tanimoto", n_words=n_words), "tanimoto", cutoff=cutoff, n=n)
     on = (F.col("a.bit") == F.col("b.bit")) & (F.col("a.idx") < F.col("b.idx"))
     on = on & (F.col("b.popcount") >= F.lit(t - 1e-12) * F.col("a.popcount")) & (F.col("a.popcount") >= F.lit(t - 1e-12) * F.col("b.popcount"))
     first = F.filter(F.col("a.prefix"), lambda x: F.array_contains(F.col("b.prefix"), x))[0] == F.col("a.bit")

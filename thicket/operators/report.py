@@ -81,19 +81,20 @@ def profile(assignments: DataFrame, treat_noise_as_singletons: bool = True) -> D
     """One row of counts, fractions and the shape of the size distribution."""
     s = sizes(assignments)
     counts = assignments.agg(F.count(F.lit(1)).alias("num_samples"), F.count_if(F.col("label") < 0).alias("num_noise"))
-    w = Window.orderBy("size", "label")  # one row for each cluster
-    ranked = s.withColumn("_r", F.row_number().over(w))
-    total = F.sum("size")
+    # clusters of equal size share their ranks; there are at most sqrt(2 * items) different sizes
+    by_size = s.groupBy("size").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = by_size.withColumn("_ranks", F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2)
+    many = s.agg(F.percentile("size", F.lit(0.5)).alias("cluster_size_median"), F.percentile("size", F.lit(0.9)).alias("cluster_size_p90"))
     shape = ranked.agg(
-        F.count(F.lit(1)).alias("num_clusters"),
-        F.count_if(F.col("size") == 1).alias("num_singletons"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("num_clusters"),
+        F.coalesce(F.sum(F.when(F.col("size") == 1, F.col("c"))), F.lit(0)).alias("num_singletons"),
         F.max("size").alias("_largest"),
-        F.percentile("size", F.lit(0.5)).alias("cluster_size_median"),
-        F.percentile("size", F.lit(0.9)).alias("cluster_size_p90"),
-        total.alias("_total"),
-        F.sum(F.col("_r") * F.col("size")).alias("_weighted"),
-        F.sum(F.col("size") * F.log2("size")).alias("_slog"),
+        F.sum(F.col("c") * F.col("size")).alias("_total"),
+        F.sum(F.col("_ranks") * F.col("size")).alias("_weighted"),
+        F.sum(F.col("c") * F.col("size") * F.log2("size")).alias("_slog"),
     )
+    shape = _beside(shape, many)
     both = counts.withColumn("_one", F.lit(1)).join(shape.withColumn("_one", F.lit(1)), "_one")
     n, k, t = F.col("num_samples"), F.col("num_clusters"), F.col("_total")
     singles = F.col("num_singletons") + (F.col("num_noise") if treat_noise_as_singletons else F.lit(0))

@@ -17,6 +17,7 @@ from ..model import NAN, NOISE, PairFrame, members_of
 from ..operators import butina as bt
 from ..operators import dbscan as db
 from ..operators import hierarchy, pairs, report, representatives
+from ..operators.ranking import dense_index
 from ..sources.staging import staged
 
 BITS = 64
@@ -62,15 +63,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "embeddings")
-    return e.select((F.row_number().over(Window.orderBy("vec_id")) - 1).cast("bigint").alias("idx"), F.col("embedding").cast("array<double>").alias("vector"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return dense_index(e, "idx", "vec_id").select("idx", "vector")
 
 
 def tanimoto(spark: SparkSession, sf_dir: str, cutoff: float | None = None) -> PairFrame:
-    x = staged(items(spark, sf_dir), "items")
-    return pairs.pdist(x, metrics.fingerprint("tanimoto"), "fingerprint", cutoff=cutoff)
+    return pairs.pdist(items(spark, sf_dir), metrics.fingerprint("tanimoto"), "fingerprint", cutoff=cutoff)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

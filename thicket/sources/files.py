@@ -12,7 +12,7 @@ import json
 from pathlib import PurePosixPath
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import MATRIX_LIMIT, ClusterEngineError, PairFrame
@@ -30,7 +30,9 @@ def item_label(title: str, idx: str, prefix: str = "mol"):
 
 
 def _numbered(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("idx", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+    from ..operators.ranking import dense_index
+
+    return dense_index(df, "idx", order)
 
 
 def read_smiles(spark: SparkSession, path: str) -> DataFrame:

@@ -192,7 +192,9 @@ def mix(df: DataFrame, labelled: DataFrame, domain: str = "domain", targets: dic
     fields = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("_all"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     weighed = with_posteriors(packed, model, "_text").select("_all", copies(rate, F.col("_id")).alias("_copies"))
-    out = weighed.where("_copies > 0").select("_all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_k"))
+    # a filter on _copies would be pushed below the projection and work out every posterior twice
+    times = F.when(F.col("_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    out = weighed.select("_all", F.explode_outer(times).alias("_k")).where("_k is not null")
     return out.select(*[F.col("_all").getField(c).alias(c) for c in fields])
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thicket.llm import exact_dedup, mixing, prob_minhash, sentencepiece_scan, toxicity
 from thicket.llm.common import staged, table
@@ -30,8 +31,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixing rates say: clean ones stay, domains with low targets are thinned."""
-    return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
+    """Documents as often as the mixing rates say: clean ones stay, those of low quality are thinned.  Toxic documents
+    are gone by now; the few labelled ones that are left would make a domain that can't be told from clean text."""
+    labels = table(spark, sf_dir, "labels").where(F.coalesce("toxic", F.lit(0)) == 0)
+    return mixing.mix(docs, mixing.label_domains(labels))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
+"""Language-model scoring by cross-entropy difference (Moore and Lewis, 2010) with byte trigrams.
+
+The registered query scores with word trigrams (`lm_words`); this is the smaller model, whose counts fit one broadcast.
 
 Two trigram models of the same form share one closed vocabulary, the 256 byte values, so no token is unknown to either:
 the target model counts the texts labelled good, the background model counts every text.  Each interpolates trigrams,
@@ -86,18 +88,18 @@ def losses(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
     return full, float(single.sum())
 
 
-def is_target(df: DataFrame, good: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(_good, _text) of every row of df."""
+def marked(df: DataFrame, good: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(_id, _good, _text) of every row of df."""
     ids = good.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    return rows.join(ids, "_id", "left").select(F.coalesce("_good", F.lit(False)).alias("_good"), "_text")
+    return rows.join(ids, "_id", "left").select("_id", F.coalesce("_good", F.lit(False)).alias("_good"), "_text")
 
 
 def count_table(df: DataFrame, good: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(code, n, m): tokens of each triple in all texts and in target texts."""
-    parts = is_target(df, good, text, id_col).mapInArrow(_count, "code int, n long, m long")
+    parts = marked(df, good, text, id_col).select("_good", "_text").mapInArrow(_count, "code int, n long, m long")
     return staged(parts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "triples")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exact_dedup, html_blocks, lm_scoring, mixing, prob_minhash, quality_knn, quality_rules, sentencepiece_scan, suffix_dedup, toxicity
+from . import exact_dedup, html_blocks, lm_words, mixing, prob_minhash, quality_knn, quality_rules, sentencepiece_scan, suffix_dedup, toxicity
 from .common import table
 
 
@@ -32,7 +32,7 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
-    return lm_scoring.score(table(spark, sf_dir, "documents"), good)
+    return lm_words.score(table(spark, sf_dir, "documents"), good)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

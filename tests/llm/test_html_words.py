@@ -1,0 +1,14 @@
+"""Every word of a block counts, wherever it stands."""
+
+import numpy as np
+
+from thicket.llm import html_blocks
+
+
+def test_words_in_the_middle_of_a_long_block_count():
+    words = [f"w{k}" for k in range(101)]
+    plain, other = (html_blocks.Block(" ".join([*words[:50], w, *words[51:]]), ["p"]) for w in ("cookies", "article"))
+    span = slice(html_blocks.PATH, html_blocks.PATH + html_blocks.WORDS)
+    a, b = (html_blocks.vectors([x])[0, span] for x in (plain, other))
+    assert not np.array_equal(a, b)
+    assert abs(a.sum() * np.sqrt(101) - 101) < 1e-3

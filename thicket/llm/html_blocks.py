@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: the runs of text between block-level tags.  Each block is a vector of its hashed tag path
-(names, classes and ids of its ancestors), its hashed words, and a few shape values (length, share of link text, place).
+(names, classes and ids of its ancestors), all its words, hashed, and a few shape values (length, share of link text, place).
 A bidirectional LSTM in numpy reads a page's blocks in order and labels every one with the whole page in view; blocks
 labelled main text are joined in page order.
 
@@ -141,9 +141,9 @@ def vectors(page: list[Block]) -> np.ndarray:
         for depth, name in enumerate(reversed(b.path)):
             row[_slot(name, PATH)] += 1.0 if depth < 6 else 0.5
         words = b.text.lower().split(" ")
-        for w in words if len(words) <= 24 else words[:12] + words[-12:]:
+        for w in words:
             row[PATH + _slot(w.strip(".,:;!?\"'()"), WORDS)] += 1.0
-        row[PATH : PATH + WORDS] /= max(1.0, float(np.sqrt(min(len(words), 24))))
+        row[PATH : PATH + WORDS] /= float(np.sqrt(len(words)))
         n = len(b.text)
         row[PATH + WORDS :] = (
             np.log1p(n) / 6,

@@ -9,8 +9,12 @@ T_k(r) = sum_d r_d * n_d * p_dk, meet that domain's target t_k: projected gradie
 where M_kl = sum of n_d p_dk p_dl over the documents with r_d > 0 scales the gradient (the step that would meet the
 targets if no rate were cut off at 0), and s is halved while a step would not lessen the misses relative to T(1).  One
 round is one aggregate of a few sums for each pair of domains; a document's rate is an expression in its posteriors and
-the steps, so nothing is joined, shuffled by document or kept.  Targets that can't be met at once are met in the least
-squares sense.
+the steps, so nothing is joined or shuffled by document; every STAGE_EVERY steps the rates are written with their
+posteriors, which keeps the expression small.  Where DESCENT rounds are not enough, x is added up over rounds
+before the rates are cut off at 0 (Newton's method for the nearest rates that meet the targets).  The fit ends when every
+miss is below TOLERANCE of the domain's tokens; it warns with the misses when it ends at neither the targets nor a
+stationary point.  Targets that can't
+be met at once are met in the least squares sense.
 
 The classifier learns from at most DOCS labelled documents of each domain (by a hash of the id); everything else runs
 over all rows.  Null counts as an empty text; texts without words have the prior as posterior and carry no tokens.  A
@@ -21,6 +25,7 @@ labelled more than once counts in its smallest domain.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,10 +37,15 @@ DOCS = 3_000
 BUCKETS = 2_048
 #: Weight of the mean log likelihood ratio of a word in the posterior.
 SHARPNESS = 60.0
-ROUNDS = 40
+#: Rounds of plain descent, and of both parts of the fit: a safety limit.
+DESCENT, ROUNDS = 40, 200
 TOLERANCE = 1e-4
 #: Least share of the loss that a step must take away.
 GAIN = 1e-3
+#: Share of the loss below which what is left to gain counts as nothing.
+STATIONARY = 1e-2
+#: Step lengths worked out in one pass, and accepted steps between two tables of rates.
+AHEAD, STAGE_EVERY = 3, 12
 MOST_DOMAINS = 64
 SPACES = r"[\x20\x09-\x0D]+"
 #: Targets as multiples of each domain's expected tokens in the input.
@@ -123,22 +133,43 @@ def solve(m: list[list[float]], v: list[float]) -> list[float]:
     return [rows[k][n] / rows[k][k] if rows[k][k] else 0.0 for k in range(n)]
 
 
+def rate_of(steps: list[list[float]], size: int) -> Column:
+    """The rate after the steps, as an expression in _p."""
+    if not steps:
+        return F.lit(1.0)
+    p = F.col("_p")
+    table = F.from_json(F.lit(str(steps)), "array<array<double>>")
+    return F.aggregate(table, F.lit(1.0), lambda r, x: F.greatest(F.lit(0.0), r - sum((p[k] * x[k] for k in range(size)), F.lit(0.0))))
+
+
 def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: dict[str, float]) -> tuple[Column, list[dict[str, float]]]:
-    """The rate as an expression in _p, and the totals after each accepted step."""
+    """The rate as an expression in _p, and the totals after each accepted step.  A fit that ends neither at the targets
+    nor at a stationary point warns with its misses."""
     size = range(len(domains))
     cells = [(k, j) for k in size for j in size if k <= j]
-
-    def sums(rate: Column) -> tuple[list[float], list[list[float]]]:
-        p, held = F.col("_p"), F.when(F.col("_r") > 0, F.col("_n")).otherwise(0)
-        found = [F.sum(F.col("_r") * F.col("_n") * p[k]) for k in size] + [F.sum(held * p[k] * p[j]) for k, j in cells]
-        row = [float(x or 0.0) for x in posteriors.select("_n", "_p", rate.alias("_r")).agg(*[c.alias(f"s{i}") for i, c in enumerate(found)]).first()]
-        m = [[0.0] * len(domains) for _ in size]
-        for (k, j), x in zip(cells, row[len(domains) :], strict=True):
-            m[k][j] = m[j][k] = x
-        return row[: len(domains)], m
-
-    rate, step = F.lit(1.0), 1.0
-    now, m = sums(rate)
+    names = [f"p{k}" for k in size]
+    p = [F.col(c) for c in names]
+
+    def sums(rates: list[Column]) -> list[tuple[list[float], list[list[float]], float]]:
+        """Totals, matrix and sum of n * r * r for each of the rates, in one pass."""
+        wanted = []
+        for i in range(len(rates)):
+            held = F.when(F.col(f"r{i}") > 0, F.col("_n")).otherwise(0)
+            wanted += [F.sum(F.col(f"r{i}") * F.col("_n") * p[k]) for k in size] + [F.sum(held * p[k] * p[j]) for k, j in cells] + [F.sum(F.col(f"r{i}") * F.col(f"r{i}") * F.col("_n"))]
+        rows = flat.select("_n", *names, *[r.alias(f"r{i}") for i, r in enumerate(rates)])
+        row = [float(x or 0.0) for x in rows.agg(*[c.alias(f"s{i}") for i, c in enumerate(wanted)]).first()]
+        out, width = [], len(domains) + len(cells) + 1
+        for i in range(len(rates)):
+            part = row[i * width : (i + 1) * width]
+            m = [[0.0] * len(domains) for _ in size]
+            for (k, j), x in zip(cells, part[len(domains) : -1], strict=True):
+                m[k][j] = m[j][k] = x
+            out.append((part[: len(domains)], m, part[-1]))
+        return out
+
+    flat = staged(posteriors.select("_n", *[F.col("_p")[k].alias(c) for k, c in enumerate(names)], F.lit(1.0).alias("_r")), "rates")
+    rate, step, steps = F.col("_r"), 1.0, []
+    ((now, m, _),) = sums([rate])
     base, goal = now, [targets.get(d, 1.0) * b for d, b in zip(domains, now, strict=True)]
 
     def misses(t: list[float]) -> list[float]:
@@ -147,20 +178,57 @@ def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: dict[str
     def loss(t: list[float]) -> float:
         return sum(x * x for x in misses(t))
 
+    def stationary() -> bool:
+        """Whether no change of the rates can lessen the loss by more than STATIONARY of it, to first order."""
+        slope = sum((p[k] * F.lit(x / b if b > 0 else 0.0) for k, (x, b) in enumerate(zip(misses(now), base, strict=True))), F.lit(0.0))
+        rows = flat.where("_n > 0").select("_n", rate.alias("_r"), slope.alias("_g"))
+        down, up, n = rows.agg(F.sum(F.col("_n") * F.col("_r") * F.greatest(F.lit(0.0), "_g")), F.max(-F.col("_g")), F.sum("_n")).first()
+        return down is None or down + max(0.0, up) * n <= STATIONARY * loss(now)
+
     history = [dict(zip(domains, base, strict=True))]
-    for _ in range(ROUNDS):
-        if max(map(abs, misses(now))) < TOLERANCE or step < 1e-3:
-            break
+    tries = kept = 0
+    while max(map(abs, misses(now))) >= TOLERANCE and tries < DESCENT and step >= 1e-3:
         x = solve(m, [t - g for t, g in zip(now, goal, strict=True)])
-        move = sum((F.col("_p")[k] * F.lit(step * x[k]) for k in size), F.lit(0.0))
-        tried = F.greatest(F.lit(0.0), rate - move)
-        then, m_then = sums(tried)
-        if loss(then) > loss(now) * (1 - GAIN):
-            step /= 2
-            continue
-        rate, now, m, step = tried, then, m_then, min(1.0, 2 * step)
-        history.append(dict(zip(domains, now, strict=True)))
-    return rate, history
+        # the halved steps that would be tried next come along in the same pass
+        ahead = [step / 2**i for i in range(AHEAD)]
+        moves = [[s * y for y in x] for s in ahead]
+        tried = [F.greatest(F.lit(0.0), rate - sum((c * F.lit(y) for c, y in zip(p, move, strict=True)), F.lit(0.0))) for move in moves]
+        for s, move, r, (then, m_then, _) in zip(ahead, moves, tried, sums(tried), strict=True):
+            tries += 1
+            if loss(then) > loss(now) * (1 - GAIN):
+                step = s / 2
+                continue
+            rate, now, m, step = r, then, m_then, min(1.0, 2 * s)
+            steps.append(move)
+            history.append(dict(zip(domains, now, strict=True)))
+            break
+        if len(steps) - kept == STAGE_EVERY:
+            flat = staged(flat.select("_n", *names, rate.alias("_r")), "rates")
+            rate, kept = F.col("_r"), len(steps)
+    if max(map(abs, misses(now))) >= TOLERANCE and not stationary():
+        flat = staged(flat.select("_n", *names, rate.alias("_r")), "rates")
+        rate, moved, step = F.col("_r"), [0.0] * len(domains), 1.0
+        ((now, m, energy),) = sums([rate])
+        height = energy / 2
+        while max(map(abs, misses(now))) >= TOLERANCE and tries < ROUNDS and step >= 1e-6:
+            x = solve(m, [t - g for t, g in zip(now, goal, strict=True)])
+            slope = sum((g - t) * y for t, g, y in zip(now, goal, x, strict=True))
+            ahead = [step / 2**i for i in range(AHEAD)]
+            moves = [[a + s * y for a, y in zip(moved, x, strict=True)] for s in ahead]
+            tried = [F.greatest(F.lit(0.0), F.col("_r") - sum((c * F.lit(y) for c, y in zip(p, move, strict=True)), F.lit(0.0))) for move in moves]
+            tries += 1
+            for s, move, r, (then, m_then, energy) in zip(ahead, moves, tried, sums(tried), strict=True):
+                to = energy / 2 + sum(a * g for a, g in zip(move, goal, strict=True))
+                if to <= height + 1e-4 * s * slope:
+                    rate, now, m, moved, height, step = r, then, m_then, move, to, 1.0
+                    history.append(dict(zip(domains, now, strict=True)))
+                    break
+            else:
+                step /= 2**AHEAD
+        steps.append(moved)
+    if max(map(abs, misses(now))) >= TOLERANCE and not stationary():
+        warnings.warn(f"mixing: after {tries} steps the totals miss their targets by {dict(zip(domains, misses(now), strict=True))} of the input's", RuntimeWarning, stacklevel=2)
+    return rate_of(steps, len(domains)), history
 
 
 def copies(rate: Column, key: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 
-__all__ = ["BROADCAST_ROWS", "byte_chunks", "checked_join", "few_rows", "staged", "table", "texts_of"]
+__all__ = ["BROADCAST_ROWS", "byte_chunks", "checked_join", "few_rows", "give_back", "staged", "table", "texts_of", "tidy"]
 
 #: Largest number of rows that checked_join() broadcasts.
 BROADCAST_ROWS = 100_000
@@ -26,11 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checked_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
     """big joined to a table with one row per key.  The small side is broadcast only when its counted rows stay under
-    BROADCAST_ROWS; beyond that both sides are shuffled with the big side's keys salted, so a hot key is spread."""
+    BROADCAST_ROWS; beyond that both sides are shuffled with the big side's keys salted, so a hot key is spread.  The
+    salt is a hash of the whole row, so a task that runs again deals its rows out as before."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, whose task gives its memory back when it ends.  Python workers outlive tasks and stages; without
+    this each of them keeps the most that any of its tasks held."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Memory that nothing uses any more goes to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 @contextmanager

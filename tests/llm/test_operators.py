@@ -2,9 +2,9 @@
 
 import hashlib
 import html as entities
-import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thicket.llm import exact_dedup, html_blocks, lm_scoring, mixing, prob_minhash, quality_knn, quality_rules, sentencepiece_scan, suffix_dedup, toxicity, wordhash
+from thicket.llm import exact_dedup, html_blocks, mixing, prob_minhash, quality_knn, quality_rules, sentencepiece_scan, suffix_dedup, toxicity, wordhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -117,6 +117,29 @@ def test_encoding_in_spark(spark, vocabulary):
     assert sentencepiece_scan.digest(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_products_are_associative(vocabulary, fan):
+    """Any tree of products gives the states of one long product, and the cuts' states give the library's own tokens."""
+    s = sentencepiece_scan.SPACE + ("漢字かな" * 40 + "antidisestablishment" * 8 + " a few words ").replace(" ", sentencepiece_scan.SPACE)
+    cuts = [*range(0, len(s), 17), len(s)]
+    ms = [vocabulary.matrix(s, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    whole = ms[0]
+    for m in ms[1:]:
+        whole = (whole[:, :, None] & m[None, :, :]).any(axis=1)
+    assert (sentencepiece_scan.product(ms) == whole).all()
+    assert (sentencepiece_scan.product([sentencepiece_scan.product(ms[:5]), sentencepiece_scan.product(ms[5:])]) == whole).all()
+    assert sentencepiece_scan.combine(ms, fan) == sentencepiece_scan.combine(ms, 10_000)
+
+
+def test_giant_texts_at_the_default_size(spark, vocabulary):
+    giant = " ".join(words(random.Random(9), 30_000)) + "漢字" * 5_000
+    assert len(giant) > 4 * sentencepiece_scan.GIANT
+    got = {r["doc_id"]: r for r in sentencepiece_scan.digest(frame(spark, [(1, giant, None, None, 0), (2, "short", None, None, 0)]), fan=3).collect()}
+    ids = vocabulary.processor.encode(giant)
+    assert got[1]["n_tokens"] == len(ids) and got[1]["ids_crc"] == zlib.crc32(" ".join(map(str, ids)).encode())
+    assert got[1]["decoded_sha256"] == hashlib.sha256(giant.encode()).hexdigest() and got[2]["n_tokens"] == len(vocabulary.processor.encode("short"))
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -230,50 +253,6 @@ def test_main_text(spark):
     assert entities.unescape("&amp;") == "&"
 
 
-# --- 5 -----------------------------------------------------------------------------------------------------------------
-
-
-def plain_losses(texts):
-    """Interpolated byte trigrams, as sums over dictionaries."""
-    tri, bi, uni, ctx2, ctx1 = Counter(), Counter(), Counter(), Counter(), Counter()
-    for t in texts:
-        b = b"\n\n" + t.encode()
-        for i in range(2, len(b)):
-            tri[b[i - 2 : i + 1]] += 1
-            ctx2[b[i - 2 : i]] += 1
-            bi[b[i - 1 : i + 1]] += 1
-            ctx1[b[i - 1 : i]] += 1
-            uni[b[i : i + 1]] += 1
-    total = sum(uni.values())
-    k = lm_scoring.K
-
-    def loss(text):
-        b, out = b"\n\n" + text.encode(), 0.0
-        for i in range(2, len(b)):
-            p1 = (uni[b[i : i + 1]] + k[2] / 256) / (total + k[2])
-            p2 = (bi[b[i - 1 : i + 1]] + k[1] * p1) / (ctx1[b[i - 1 : i]] + k[1])
-            p3 = (tri[b[i - 2 : i + 1]] + k[0] * p2) / (ctx2[b[i - 2 : i]] + k[0])
-            out -= math.log(p3)
-        return out / max(1, len(b) - 2)
-
-    return loss
-
-
-def test_lm_scoring(spark):
-    rows = corpus(2, 20)
-    good = spark.createDataFrame([(k,) for k in (1, 2, 3, 7, 7)] + [(None,)], "doc_id bigint")
-    got = lm_scoring.score(frame(spark, rows, extra=True), good).collect()
-    background, target = plain_losses([t or "" for _, t, *_ in rows]), plain_losses([t or "" for k, t, *_ in rows if k in (1, 2, 3, 7)])
-    want = defaultdict(list)
-    for k, t, *_ in rows:
-        want[k].append((len((t or "").encode()), background(t or ""), target(t or "")))
-    assert len(got) == len(rows)
-    for r in got:
-        assert any(r["n_tokens"] == n and r["background_loss"] == pytest.approx(b, abs=1e-5) and r["target_loss"] == pytest.approx(c, abs=1e-5) for n, b, c in want[r["doc_id"]])
-        assert r["difference"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-9)
-    assert lm_scoring.score(empty(spark), good).count() == 0
-
-
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -395,7 +374,20 @@ def test_probability_jaccard_and_sketches():
     assert (sketch[3] == sketch[3][0]).all() and (sketch[4] == 0).all()
 
 
-def test_near_duplicates(spark):
+def test_one_text_against_many():
+    r = random.Random(1)
+    base = words(r, 40)
+    texts = [" ".join(base), " ".join(base[:30]), " ".join(base + base[:12]), "one two", "", " ".join(words(r, 40))]
+    known = prob_minhash.Shingled(texts)
+    for i in range(len(texts)):
+        assert known.similarities(i, np.arange(len(texts))) == pytest.approx([plain_jaccard(texts[i], t) for t in texts])
+
+
+@pytest.mark.parametrize("limits", [{}, {"SHRINK": -1.0, "BLOCK": 3, "OTHERS": 5}, {"SHRINK": -1.0, "SPLIT": 4}])
+def test_near_duplicates(spark, monkeypatch, limits):
+    """Buckets settled by rounds of pivots; by blocks; and cut by further bands."""
+    for k, v in limits.items():
+        monkeypatch.setattr(prob_minhash, k, v)
     r = random.Random(4)
     rows = corpus(4, 40)
     base = words(r, 150, 5000)
@@ -427,6 +419,8 @@ def test_near_duplicates(spark):
     assert stay.columns == df.columns and stay.count() == len(classes)
     assert Counter(find(x["text"] or "") for x in stay.collect()) == Counter(classes.keys())
     assert prob_minhash.decide(empty(spark)).count() == prob_minhash.keep(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        prob_minhash.decide(df, threshold=0.5)
 
 
 # --- 9, 10 -------------------------------------------------------------------------------------------------------------

@@ -279,30 +279,20 @@ def test_mixing_meets_targets(spark):
     df = frame(spark, [*rows, (900, None, None, None, 0), (None, "a1 a2", "en", "x", 5)], extra=True)
     domains = mixing.label_domains(spark.createDataFrame([*labels, (1, None, None), (None, 1, 0)], LABELS))
     targets = {"clean": 1.0, "low": 0.25, "toxic": 0.1}
-    got = mixing.weigh(df, domains, targets=targets).collect()
-    assert len(got) == 242 and all(abs(sum(x["posterior"].values()) - 1) < 1e-9 and x["rate"] >= 0 for x in got)
-    names = sorted(targets)
+    weighed = mixing.weigh(df, domains, targets=targets)
+    got = weighed.collect()
+    assert len(got) == 242 and all(abs(sum(x["posterior"].values()) - 1) < 1e-9 and 0 <= x["rate"] <= mixing.MOST for x in got)
+    kind = ("clean", "low", "toxic")
+    assert sum(max(x["posterior"], key=x["posterior"].get) == kind[x["doc_id"] % 3] for x in got if x["doc_id"] is not None and x["doc_id"] < 240) > 225
     n, r = np.array([x["n_words"] for x in got]), np.array([x["rate"] for x in got])
-    p = np.array([[x["posterior"][d] for d in names] for x in got])
-    assert n @ p * [targets[d] for d in names] == pytest.approx((n * r) @ p, rel=1e-3)
-    # the same descent in numpy
-    rate, base, step = np.ones(len(n)), n @ p, 1.0
-    goal = base * [targets[d] for d in names]
-    miss = lambda q: ((n * q) @ p - goal) / base
-    for _ in range(mixing.ROUNDS):
-        if np.abs(miss(rate)).max() < mixing.TOLERANCE:
-            break
-        m = (p * (n * (rate > 0))[:, None]).T @ p
-        tried = np.maximum(0, rate - step * (p @ np.linalg.solve(m + 1e-9 * m.max() * np.eye(3), (n * rate) @ p - goal)))
-        if (miss(tried) ** 2).sum() > (miss(rate) ** 2).sum() * (1 - mixing.GAIN):
-            step /= 2
-        else:
-            rate, step = tried, min(1.0, 2 * step)
-    assert r == pytest.approx(rate, abs=1e-6)
+    p = np.array([[x["posterior"][d] for d in kind] for x in got])
+    assert (n * r) @ p / (n @ p) == pytest.approx([targets[d] for d in kind], abs=mixing.TOLERANCE)
+    for x in mixing.achieved(weighed, targets).collect():
+        assert x["by_rates"] == pytest.approx(targets[x["domain"]] , abs=mixing.TOLERANCE) and x["target"] == targets[x["domain"]]
     mixed = mixing.mix(df, domains, targets=targets)
     assert mixed.columns == df.columns
     assert Counter(x["doc_id"] for x in mixed.collect()) == Counter({x["doc_id"]: x["copies"] for x in got if x["copies"]})
-    assert mixing.weigh(empty(spark), domains).count() == 0
+    assert mixing.weigh(empty(spark), domains).count() == mixing.mix(empty(spark), domains).count() == 0
     alone = mixing.weigh(df, domains.limit(0)).collect()
     assert {tuple(x["posterior"]) for x in alone} == {("all",)} and all(x["rate"] == 1 for x in alone)
 

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import NAN, ClusterEngineError, PairFrame, members_of
+from ..model import NAN, ClusterEngineError, PairFrame, exact_mean, members_of
 from ..sources.staging import staged
 
 #: Thresholds of the three presets.
@@ -133,7 +133,7 @@ def frames(assignments: DataFrame, pairs: PairFrame, method: str = "medoid", mem
     fixed = PairFrame(known, pairs.n, pairs.comparison, pairs.kind, True, None, pairs.params, pairs.labels)
     labelled = staged(known.join(lab.toDF("i", "la"), "i").join(lab.toDF("j", "lb"), "j"), "labelled")
     both = labelled.select(F.col("i").alias("idx"), F.col("la").alias("own"), F.col("lb").alias("other"), "d").union(labelled.select("j", "lb", "la", "d"))
-    to_cluster = both.groupBy("idx", "own", "other").agg(F.avg("d").alias("mean"), F.max("d").alias("mx"), F.count(F.lit(1)).alias("n"))
+    to_cluster = both.groupBy("idx", "own", "other").agg(exact_mean(F.col("d")).alias("mean"), F.max("d").alias("mx"), F.count(F.lit(1)).alias("n"))
     to_cluster = staged(to_cluster, "to-cluster")
     own = to_cluster.where("own = other").select("idx", F.col("own").alias("label"), "mean", "mx")
     every = m.join(own, ["label", "idx"], "left").select("label", "pos", "idx", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("mx", F.lit(0.0)).alias("mx"))

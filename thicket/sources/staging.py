@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (one machine, tests) a local folder, chosen once."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, a local folder, chosen once."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="thicket-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -199,9 +199,13 @@ def test_quality_rules(spark):
     hosts = defaultdict(list)
     for x in got:
         hosts[x["host"]].append(x["failed"])
-    rates = [sum(v) / len(v) for v in hosts.values()]
-    m, v = np.mean(rates), np.var(rates)
-    weight = min(max(m * (1 - m) / v - 1, quality_rules.PRIOR_WEIGHT[0]), quality_rules.PRIOR_WEIGHT[1])
+    sizes, rates = np.array([len(v) for v in hosts.values()]), np.array([sum(v) / len(v) for v in hosts.values()])
+    m, groups, total = sum(map(sum, hosts.values())) / len(got), len(hosts), len(got)
+    between = (sizes * (rates - m) ** 2).sum() / (groups - 1)
+    inside = (sizes * rates * (1 - rates)).sum() / (total - groups)
+    per_host = (total - (sizes**2).sum() / total) / (groups - 1)
+    alike = (between - inside) / (between + (per_host - 1) * inside)  # correlation within hosts
+    weight = min(max(1 / alike - 1, quality_rules.PRIOR_WEIGHT[0]), quality_rules.PRIOR_WEIGHT[1])
     for x in got:
         f, n = sum(hosts[x["host"]]), len(hosts[x["host"]])
         assert (x["host_failed"], x["host_docs"]) == (f, n) and x["host_rate"] == pytest.approx((f + m * weight) / (n + weight))
@@ -210,6 +214,15 @@ def test_quality_rules(spark):
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
+def test_the_prior_leaves_out_the_noise_of_small_hosts(spark):
+    """Hosts of five documents each, with true rates of Beta(8, 12): the raw variance of the rates would give a weight of
+    about 4, the true one is 20."""
+    r = np.random.default_rng(3)
+    rows = [(f"h{k}", 5, int(r.binomial(5, r.beta(8, 12)))) for k in range(6000)]
+    alpha, beta = quality_rules.beta_prior(spark.createDataFrame(rows, "host string, host_docs long, host_failed long"))
+    assert alpha / (alpha + beta) == pytest.approx(0.4, abs=0.01) and alpha + beta == pytest.approx(20, rel=0.25)
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------
 
 

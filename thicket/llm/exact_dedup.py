@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_chunks, staged, texts_of
+from .common import byte_chunks, staged, texts_of, tidy
 
 #: Counters in a Misra-Gries summary: digests above 2/CAPACITY of the rows are certain to be found.
 CAPACITY = 1024
@@ -45,7 +45,7 @@ def _digests(batches: Iterator[pa.RecordBatch], column: str = "") -> Iterator[pa
 def digests(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(_id, _digest) of every row."""
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(_digests, f"_id {kind}, _digest binary")
+    return df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(tidy(_digests), f"_id {kind}, _digest binary")
 
 
 def merge_summary(counters: dict, more: dict, capacity: int) -> dict:
@@ -110,7 +110,7 @@ def keep(df: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: in
     fields = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("_all"), F.col(id_col).alias("_id"))
     schema = T.StructType([*packed.schema.fields, T.StructField("_digest", T.BinaryType())])
-    keyed = packed.mapInArrow(lambda batches: _digests(batches, text), schema)
+    keyed = packed.mapInArrow(tidy(lambda batches: _digests(batches, text)), schema)
     first = Window.partitionBy("_digest").orderBy(F.desc_nulls_last("_id"))
     marked = keyed.join(F.broadcast(winners), "_digest", "left").where(F.col("_size").isNull() | F.col("_win._id").eqNullSafe(F.col("_id")))
     stay = marked.withColumn("_rank", F.row_number().over(first)).where("_rank = 1")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, texts_of
+from .common import byte_chunks, texts_of, tidy
 
 PATH, WORDS, SHAPE = 128, 48, 8
 WIDTH = PATH + WORDS + SHAPE
@@ -428,4 +428,4 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*[F.col(c) for c in keep], F.col(html)).mapInArrow(read, f"{schema}, text string, n_chars long")
+    return df.select(*[F.col(c) for c in keep], F.col(html)).mapInArrow(tidy(read), f"{schema}, text string, n_chars long")

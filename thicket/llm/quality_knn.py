@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, texts_of
+from .common import byte_chunks, texts_of, tidy
 from .toxicity import labelled
 
 DOCS = 2_500
@@ -109,7 +109,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, stop - start) for k in (0, 1)] + [raw], names=["_id", "y", "x"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    found = texts.select("_id", "_label", "_text").mapInArrow(vectors, f"_id {kind}, y int, x binary").orderBy("_id", "x").toArrow()
+    found = texts.select("_id", "_label", "_text").mapInArrow(tidy(vectors), f"_id {kind}, y int, x binary").orderBy("_id", "x").toArrow()
     y = np.array(found.column("y").to_pylist())
     if len(set(y.tolist())) < 2:
         return None
@@ -129,6 +129,6 @@ def score(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(s, pa.float64())], names=["_id", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(scored, f"_id {kind}, score double")
+    out = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(tidy(scored), f"_id {kind}, score double")
     held = F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit(""))) % 4 == 2
     return out.select(F.col("_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, checked_join, staged, texts_of
+from .common import byte_chunks, checked_join, staged, texts_of, tidy
 from .wordhash import SPACE, Batch
 
 WINDOW = 8
@@ -80,11 +80,19 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """(alpha, beta) by moments over the hosts' failure rates; one row of sums is all that reaches the driver."""
-    m, v = hosts.agg(F.avg(F.col("host_failed") / F.col("host_docs")), F.var_pop(F.col("host_failed") / F.col("host_docs"))).first()
-    if m is None:
+    """(alpha, beta) of the hosts' true failure rates, by the analysis of variance of the beta-binomial model: what the
+    observed rates vary by within hosts, from few documents each, is taken out.  One row of sums reaches the driver."""
+    n, f = F.col("host_docs"), F.col("host_failed")
+    k, docs, squares, failed, within, spread = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(n * n), F.sum(f), F.sum(f * (n - f) / n), F.sum(f * f / n)).first()
+    if not k:
         return PRIOR_WEIGHT[0] / 2, PRIOR_WEIGHT[0] / 2
-    weight = m * (1 - m) / v - 1 if v and v > 0 else PRIOR_WEIGHT[1]
+    m, weight = failed / docs, PRIOR_WEIGHT[1]
+    if k > 1:
+        between = (spread - failed * failed / docs) / (k - 1)
+        inside = within / (docs - k) if docs > k else 0.0
+        alike = between - inside
+        if alike > 0:
+            weight = (docs - squares / docs) / (k - 1) * inside / alike
     weight = min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
     return m * weight, (1 - m) * weight
 
@@ -94,7 +102,7 @@ def judge(df: DataFrame, text: str = "text", id_col: str = "doc_id", host: str =
     its shrunken failure rate and verdict, kept."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(text).alias("_text"))
-    counted = rows.mapInArrow(_measure_batches, f"_id {kind}, _host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = rows.mapInArrow(tidy(_measure_batches), f"_id {kind}, _host string, " + ", ".join(f"{c} long" for c in COUNTS))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     other = (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("n_words")) | (F.col("n_dup_lines") > MOST_DUPLICATE_LINES)
     counted = staged(counted.withColumns({"base_failed": base, "failed": base | other}), "rules")
@@ -141,8 +149,17 @@ f AS (
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * n_words OR n_dup_lines > 5 AS failed
   FROM c),
 h AS (SELECT host, count(*) AS host_docs, count(*) FILTER (WHERE failed) AS host_failed FROM f GROUP BY host),
-p AS (SELECT avg(host_failed / host_docs) AS m, var_pop(host_failed / host_docs) AS v FROM h),
-k AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM p)
+p AS (
+  SELECT count(*) AS k, sum(host_docs) AS docs, sum(host_docs * host_docs) AS squares, sum(host_failed) AS failed,
+    sum(host_failed * (host_docs - host_failed) / host_docs) AS within, sum(host_failed * host_failed / host_docs) AS spread FROM h),
+v AS (
+  SELECT *, (spread - failed * failed / docs) / nullif(k - 1, 0) AS between_hosts,
+    CASE WHEN docs > k THEN within / (docs - k) ELSE 0 END AS inside FROM p),
+k AS (
+  SELECT failed / docs AS m,
+    CASE WHEN between_hosts > inside
+      THEN least(greatest((docs - squares / docs) / (k - 1) * inside / (between_hosts - inside), 1.0), 1000.0) ELSE 1000.0 END AS s
+  FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (host_failed + m * s) / (host_docs + s) <= 0.5 AS kept, host_docs, host_failed
 FROM f JOIN h USING (host), k

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, texts_of
+from .common import byte_chunks, texts_of, tidy
 
 #: Labelled texts of each class; half of them for the dictionaries, half for the thresholds.
 DOCS = 4_000
@@ -180,7 +180,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     sizes = {r["_label"]: r["count"] for r in made.groupBy("_label").count().collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 10:
         return None
-    counts = made.mapInArrow(_word_rows, "w binary, toxic int").groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = made.mapInArrow(tidy(_word_rows), "w binary, toxic int").groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     toxic, ordinary = choose_words(counts.where("a + b >= 2"), sizes[1], sizes[0])
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
                 rows.append((h / max(1.0, float(h.sum()))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["y", "h"])
 
-    found = judged.mapInArrow(histograms, "y int, h binary").orderBy("y", "h").toArrow()
+    found = judged.mapInArrow(tidy(histograms), "y int, h binary").orderBy("y", "h").toArrow()
     y = np.array(found.column("y").to_pylist())
     if min((y == 1).sum(), (y == 0).sum()) < 10:
         return None
@@ -225,7 +225,7 @@ def score(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, distance, batch.column(1)), pa.float64())], names=["_id", "score"])
 
-    out = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(scored, f"_id {kind}, score double")
+    out = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(tidy(scored), f"_id {kind}, score double")
     held = F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit(""))) % 5 == 0
     return out.select(F.col("_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -240,4 +240,4 @@ def keep(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "do
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, distance, batch.column(batch.schema.names.index(text))) < 0.5, pa.bool_()))
 
-    return df.mapInArrow(mild, df.schema)
+    return df.mapInArrow(tidy(mild), df.schema)

@@ -7,8 +7,10 @@ nearest vote with their labels, weighted by similarity.  Votes are stretched so
 labelled texts apart best, each judged by the others, comes to lie at 0.7.
 
 It learns from a bounded sample of labelled rows (DOCS texts of each class, by a hash of the id); every text is scored
-whole.  Texts that are null or shorter than three bytes score 0, as does everything if labels of both classes are missing.
-A doc_id labelled more than once counts as good if half of its labels say so.
+whole, however long.  Texts that are null, empty or shorter than three bytes score 0, as does everything unless labels of
+both classes are known.  A doc_id labelled more than once counts as good if half of its labels say so.  Labelled texts
+that tie with the last of the nearest all vote.  Rows that repeat score alike and each gets its row; an empty table gives
+an empty result; columns other than the id's and the text's are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, texts_of, tidy
+from .common import byte_chunks, staged, texts_of, tidy
 from .toxicity import labelled
 
 DOCS = 2_500
@@ -64,9 +66,10 @@ class Model:
         if own is not None:
             cosine[np.arange(len(v)), own] = -2.0
         k = min(NEIGHBOURS, cosine.shape[1] - (own is not None))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.broadcast_to(np.arange(k), (len(v), k))
-        weight = np.clip(np.take_along_axis(cosine, near, axis=1), 1e-6, 1.0).astype(np.float64) ** SHARPNESS
-        return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        # a labelled text as similar as the k-th counts too, so ties don't hang on the order of the labelled rows
+        least = np.partition(cosine, -k, axis=1)[:, -k][:, None] if k < cosine.shape[1] else np.full((len(v), 1), -1.5, dtype=cosine.dtype)
+        weight = np.where(cosine >= least, np.clip(cosine, 1e-6, 1.0), 0.0).astype(np.float64) ** SHARPNESS
+        return weight @ self.labels / weight.sum(axis=1)
 
     def stretch(self, vote: np.ndarray) -> np.ndarray:
         low = THRESHOLD * vote / max(self.cut, 1e-9)
@@ -109,7 +112,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, stop - start) for k in (0, 1)] + [raw], names=["_id", "y", "x"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    found = texts.select("_id", "_label", "_text").mapInArrow(tidy(vectors), f"_id {kind}, y int, x binary").orderBy("_id", "x").toArrow()
+    found = staged(texts.select("_id", "_label", "_text").mapInArrow(tidy(vectors), f"_id {kind}, y int, x binary"), "labelled").orderBy("_id", "x").toArrow()
     y = np.array(found.column("y").to_pylist())
     if len(set(y.tolist())) < 2:
         return None

@@ -1,26 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary texts.  A text is cut into windows, each window
-is compressed with either dictionary, and the difference of the two lengths is that window's evidence: toxic passages come
-out shorter with the toxic dictionary.  Windows are words with the space on either side (runs without spaces are cut every
-WINDOW bytes): in longer windows, the chance matches of ordinary words drown the few bytes that one toxic word saves.
-
-The toxic dictionary holds the words that are most over-represented in toxic texts; the ordinary one holds the ordinary
-words that the toxic dictionary compresses well, so that ordinary relatives of toxic words are a match for it.  Both are
-raw-content dictionaries that end with the same PREFIX, which also goes before every window: without a sure match, zstd
-stores short windows as they are, and small savings would not show.
+Two zstandard dictionaries are trained by the library's own trainer, one on toxic and one on ordinary text.  A text is
+cut into windows, each window is compressed with either dictionary, and the difference of the two lengths is that
+window's evidence: toxic passages come out shorter with the toxic dictionary.  Windows are words with the space on either
+side (runs without spaces are cut every WINDOW bytes): in longer windows, the chance matches of ordinary words drown the
+few bytes that one toxic word saves.
+
+Most of a toxic text is as ordinary as any other, and a trainer that sees all of it fills its dictionary with common
+words.  So the toxic dictionary is trained on those windows of toxic texts that stand out (LEAST_Z standard errors more
+frequent than in ordinary texts), each as often as texts have it, and the ordinary one on those windows of ordinary texts
+that the toxic dictionary makes shorter, so that ordinary relatives of toxic words are a match for it.  Both are used as
+content that ends with the same PREFIX, which also goes before every window: without a sure match, zstd stores short
+windows as they are, and small savings would not show.
 
 Thresholds are calibrated on other labelled texts than the dictionaries': every (difference, length) has its log-odds of
 being from a toxic text; a text's features are the mean and the shares of its windows beyond several log-odds, weighed by
 a logistic regression whose score is moved so that 0.5 is the cut (a wrongly rejected text counts as COST missed ones).
 
-It learns from bounded samples of labelled rows (DOCS texts of each class, by a hash of the id); every text is scored
-whole.  Null counts as empty; a text without windows has no evidence and scores below 0.5; with labels of one class only,
-or none, every score is 0.  A doc_id labelled more than once counts as toxic if half of its labels say so.
+It learns from bounded samples of labelled rows (DOCS texts of each class, by a hash of the id), which are joined to
+their texts once; every text is scored whole, however long.  Null counts as empty; a text without windows has no evidence
+and scores below 0.5; with labels of one class only, or none, every score is 0.  A doc_id labelled more than once counts
+as toxic if half of its labels say so.  Rows that repeat score alike and each gets its row; a score of exactly 0.5 is
+toxic; an empty table gives an empty result; columns other than the id's and the text's are passed on unread.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +36,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, texts_of, tidy
+from .common import byte_chunks, staged, texts_of, tidy
 
 #: Labelled texts of each class; half of them for the dictionaries, half for the thresholds.
 DOCS = 4_000
-#: Words considered for either dictionary, and bytes that it may hold.
-TOXIC_WORDS, ORDINARY_WORDS = 2_000, 30_000
+#: Different windows that either dictionary is trained on, and bytes that it may hold.
+TOXIC_WINDOWS, ORDINARY_WINDOWS = 4_000, 30_000
 TOXIC_BYTES, ORDINARY_BYTES = 4_000, 24_000
-LEAST_SCORE = 4.0
+LEAST_Z = 4.0
+#: The trainer's segments and the strings that it counts, in bytes.
+SEGMENT, STRING = 16, 6
+#: Largest log odds of a window that the ordinary dictionary is trained on.
+TAME = 0.5
 WINDOW = 48
 COST = 3.0
 PREFIX = b"<<=~=~=|:|:|:[#]{1}{2}{3}{4}{5}^^\x01\x02\x03\x04\x05\x06\x07>>"
@@ -56,9 +66,22 @@ def windows(text: str) -> list[bytes]:
     return out
 
 
-def compressor(words: list[bytes]):
-    """Length of a window compressed with a dictionary of these words."""
-    d = zstandard.ZstdCompressionDict(b" " + b" ".join(words) + b" " + PREFIX, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the samples; of samples too few for the trainer, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=STRING, level=3).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def spread(counts: dict[bytes, int]) -> list[bytes]:
+    """Every window as often as it counts, mixed as in texts: the trainer takes one segment from each stretch."""
+    return [w for _, w in sorted((zlib.crc32(b"%d " % k + w), w) for w, n in counts.items() for k in range(n))]
+
+
+def compressor(content: bytes):
+    """Length of a window compressed with a dictionary of this content."""
+    d = zstandard.ZstdCompressionDict(content + PREFIX, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters(
         window_log=17, hash_log=14, chain_log=14, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
     )
@@ -70,7 +93,7 @@ def compressor(words: list[bytes]):
 class Distance:
     """The cell (difference, length) of a window; frequent windows are remembered."""
 
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+    def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
         self.known: dict[bytes, int] = {}
 
@@ -93,8 +116,8 @@ class Distance:
 
 @dataclass(frozen=True)
 class Model:
-    toxic: list[bytes]
-    ordinary: list[bytes]
+    toxic: bytes
+    ordinary: bytes
     odds: np.ndarray
     weights: np.ndarray
     shift: float
@@ -140,48 +163,40 @@ def labelled(labels: DataFrame, label: str, modulus: int, held: int, docs: int,
     return picks[0].union(picks[1])
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, toxic) once for each text that has the window."""
     for batch in batches:
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = list(set(windows(text.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([toxic] * len(found), pa.int32())], names=["w", "toxic"])
-
-
-def choose_words(counts: DataFrame, toxic: int, ordinary: int) -> tuple[list[bytes], list[bytes]]:
-    """Words of the two dictionaries, the most telling last (nearest to the window)."""
-    a, b = F.col("a") / toxic, F.col("b") / ordinary
-    p = (F.col("a") + F.col("b") + 1) / (toxic + ordinary + 2)
-    scored = counts.withColumn("z", (a - b) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / ordinary)))
-    bad = scored.where((F.col("a") >= 2) & (F.col("z") >= 2)).orderBy(F.desc("z"), "w").limit(TOXIC_WORDS).select("w", "z").collect()
-    tame = scored.where((F.col("b") >= 2) & (F.col("z") < 2)).orderBy(F.desc("b"), "w").limit(ORDINARY_WORDS).select("w", "b").collect()
-    first: list[bytes] = []
-    for r in bad:
-        w = bytes(r["w"])[1:-1]
-        if r["z"] >= LEAST_SCORE and sum(map(len, first)) + len(w) <= TOXIC_BYTES:
-            first.append(w)
-    draft = Distance(first[::-1], [])
-    gains = sorted(((r["b"] * draft.difference(bytes(r["w"])), bytes(r["w"])[1:-1]) for r in tame), reverse=True)
-    second, size = [], 0
-    for gain, w in gains:
-        if gain <= 0 or size > ORDINARY_BYTES:
-            break
-        second.append(w)
-        size += len(w) + 1
-    return first[::-1], second[::-1]
+        for start, stop in byte_chunks(batch.column(1)):
+            found = [set(windows(t)) for t in texts_of(batch.column(1), start, stop)]
+            toxic = np.repeat(np.array(batch.column(0).slice(start, stop - start).to_pylist(), dtype=np.int32), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.binary()), pa.array(toxic)], names=["w", "toxic"])
+
+
+def dictionaries(counts: DataFrame, toxic: int, ordinary: int) -> tuple[bytes, bytes]:
+    """Both dictionaries, from (w, a, b): in how many toxic and ordinary texts a window is."""
+    a, b = F.col("a"), F.col("b")
+    p = (a + b + 1) / (toxic + ordinary + 2)
+    z = (a / toxic - b / ordinary) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / ordinary))
+    odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (ordinary + 1))
+    bad = counts.where((a >= 2) & (z >= LEAST_Z)).orderBy(F.desc(z), "w").limit(TOXIC_WINDOWS).collect()
+    tame = counts.where((b >= 1) & (odds < TAME)).orderBy(F.desc("b"), "w").limit(ORDINARY_WINDOWS).collect()
+    first = dictionary(spread({bytes(r["w"]): r["a"] for r in bad}), TOXIC_BYTES)
+    draft = Distance(first, b"")
+    second = dictionary(spread({bytes(r["w"]): r["b"] for r in tame if draft.difference(bytes(r["w"])) > 0}), ORDINARY_BYTES)
+    return first, second
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", docs: int = DOCS) -> Model | None:
     """None if there aren't labelled texts of both classes in both halves."""
     chosen = labelled(labels, "toxic", 5, 0, docs, id_col).select(F.col(id_col).alias("_id"), "_label")
     texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
-    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2))
-    made, judged = (texts.where(half == k).select("_label", "_text") for k in (0, 1))
+    texts = staged(texts.select("_label", "_text", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).alias("_half")), "labelled")
+    made, judged = (texts.where(F.col("_half") == k).select("_label", "_text") for k in (0, 1))
     sizes = {r["_label"]: r["count"] for r in made.groupBy("_label").count().collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 10:
         return None
-    counts = made.mapInArrow(tidy(_word_rows), "w binary, toxic int").groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    toxic, ordinary = choose_words(counts.where("a + b >= 2"), sizes[1], sizes[0])
+    counts = made.mapInArrow(tidy(_windows_of_texts), "w binary, toxic int").groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    toxic, ordinary = dictionaries(staged(counts, "windows"), sizes[1], sizes[0])
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(toxic, ordinary)

@@ -11,7 +11,10 @@ and inside them.  Training is seeded, so every run has the same model.
 
 Text inside script, style, noscript, template, svg, select, option, button, textarea, title and comments is never a block.
 Character references are decoded; white space inside a block becomes one space.  Null or empty html gives an empty text;
-unclosed, stray and cut-off tags are read as browsers do as far as blocks are concerned.
+unclosed, stray and cut-off tags are read as browsers do as far as blocks are concerned.  Reading a page takes time in
+proportion to its length, however deep or malformed it is, and a long page is read whole.  Every row is read on its own:
+rows that repeat come out as often; a score of exactly 0 is not main text; an empty table gives an empty result; columns
+other than the html and those kept are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,12 @@ from .common import byte_chunks, texts_of, tidy
 PATH, WORDS, SHAPE = 128, 48, 8
 WIDTH = PATH + WORDS + SHAPE
 HIDDEN = 24
-TRAIN_PAGES, EPOCHS, SEED = 1_200, 10, 20
+TRAIN_PAGES, EPOCHS, SEED = 3_000, 10, 20
 BATCH = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]")
+_PLAIN = re.compile(r"[^>\"']*")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 # fixed values of the HTML standard
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
@@ -46,15 +51,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template svg select option button textarea title iframe object math".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SPACE = re.compile(r"\s+")
+_END = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.I) for tag in SILENT}
+#: Names nearest to a block that weigh fully.
+NEAR = 6
+
+
+@functools.lru_cache(1 << 16)
+def _slot(name: str, size: int) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
 
 
 @dataclass
 class Block:
+    """path: the names (tags, classes and ids of ancestors) nearest to the block, the nearest last, or all of them;
+    above: how often each slot of PATH has a name, over all ancestors, if path is cut."""
+
     text: str
     path: list[str]
     linked: int = 0
     label: int = 0
-    words: list[str] = field(default_factory=list)
+    above: np.ndarray | None = None
 
 
 def _names(tag: str, attributes: str) -> list[str]:
@@ -64,9 +80,41 @@ def _names(tag: str, attributes: str) -> list[str]:
     return out
 
 
+class _Scanner:
+    """The tags of a page, each read once: no place is looked at more often than a fixed number of times, whatever is
+    unclosed."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+
+    def find(self, c: str, at: int) -> int:
+        """The next c, or -1; no search goes past the last one."""
+        return self.html.find(c, at) if at <= self.last[c] else -1
+
+    def tag_end(self, at: int) -> tuple[int, int]:
+        """End of the attributes that begin here, and of the tag.  A quote that is never closed is a character like any
+        other; a tag that is never closed ends with the page."""
+        start = at
+        while True:
+            at = _PLAIN.match(self.html, at).end()
+            if at >= len(self.html):
+                break
+            if self.html[at] == ">":
+                return at, at + 1
+            if (closing := self.find(self.html[at], at + 1)) < 0:
+                break
+            at = closing + 1
+        end = self.find(">", start)
+        return (end, end + 1) if end >= 0 else (len(self.html), len(self.html))
+
+
 def blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page, in order."""
+    """The leaf blocks of a page, in order, in time linear in the page."""
+    scan, size = _Scanner(html), len(html)
     stack: list[tuple[str, list[str]]] = []
+    opened: Counter[str] = Counter()
+    counts = np.zeros(PATH, dtype=np.int32)
     found: list[Block] = []
     pieces: list[str] = []
     linked = links = 0
@@ -75,39 +123,57 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
         if text:
-            found.append(Block(text, [n for _, names in stack for n in names], min(linked, len(text))))
+            near: list[str] = []
+            for _, names in reversed(stack):
+                near = names[max(0, len(names) - NEAR + len(near)) :] + near
+                if len(near) >= NEAR:
+                    break
+            found.append(Block(text, near, min(linked, len(text)), 0, counts.astype(np.float32)))
         pieces.clear()
         linked = 0
 
-    def pop(tag: str) -> None:
-        while stack and stack.pop()[0] != tag:
-            pass
+    def push(tag: str, names: list[str]) -> None:
+        stack.append((tag, names))
+        opened[tag] += 1
+        for n in names:
+            counts[_slot(n, PATH)] += 1
 
-    at, size = 0, len(html)
+    def pop() -> str:
+        tag, names = stack.pop()
+        opened[tag] -= 1
+        for n in names:
+            counts[_slot(n, PATH)] -= 1
+        return tag
+
+    at = 0
     while at < size:
-        m = _TOKEN.search(html, at)
+        m = _OPEN.search(html, at)
+        stop = m.start() if m else size
+        if stop > at:
+            pieces.append(html[at:stop])
+            linked += stop - at if links else 0
         if m is None:
-            pieces.append(html[at:])
             break
-        if m.start() > at:
-            text = html[at : m.start()]
-            pieces.append(text)
-            linked += len(text) if links else 0
         at = m.end()
         if m[2] is None:
+            end = html.find("-->", at) if m[0] == "<!--" else scan.find(">", at)
+            at = size if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
         tag = m[2].lower()
+        start = at
+        stop, at = scan.tag_end(at)
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE and any(t == tag for t, _ in stack):
+            elif tag not in INLINE and opened[tag]:
                 close()
-                pop(tag)
+                while pop() != tag:
+                    pass
             continue
         if tag in SILENT:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
+            if html[stop - 1] != "/":
+                end = _END[tag].search(html, at)
+                at = scan.tag_end(end.end())[1] if end else size
             pieces.append(" ")
             continue
         if tag == "br":
@@ -118,28 +184,26 @@ def blocks(html: str) -> list[Block]:
             continue
         close()
         links = 0
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        elif tag in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
-            stack.pop()
+        if tag in CLOSES_P and stack and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
+            pop()
         if tag not in VOID:
-            stack.append((tag, _names(tag, m[3])))
+            push(tag, _names(tag, html[start:stop]))
     close()
     return found
 
 
-@functools.lru_cache(1 << 16)
-def _slot(name: str, size: int) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
-
-
 def vectors(page: list[Block]) -> np.ndarray:
     """len(page) x WIDTH features."""
     x = np.zeros((len(page), WIDTH), dtype=np.float32)
     for k, b in enumerate(page):
         row = x[k]
-        for depth, name in enumerate(reversed(b.path)):
-            row[_slot(name, PATH)] += 1.0 if depth < 6 else 0.5
+        near = b.path[max(0, len(b.path) - NEAR) :]
+        if b.above is not None:
+            row[:PATH] = b.above / 2
+        for name in b.path if b.above is None else ():
+            row[_slot(name, PATH)] += 0.5
+        for name in near:
+            row[_slot(name, PATH)] += 0.5
         words = b.text.lower().split(" ")
         for w in words:
             row[PATH + _slot(w.strip(".,:;!?\"'()"), WORDS)] += 1.0
@@ -318,15 +382,17 @@ class Generator:
     def sentence(self, low: int = 4, high: int = 18) -> str:
         r = self.r
         style = r.random()
-        end = r.choice([" ***", "%%%", "###"]) if style < 0.05 else ""
+        end = r.choice(["", " "]) + r.choice("*%#~=+^_$@&") * r.randint(1, 4) if style < 0.05 else ""
         words = [self.word() + end for _ in range(r.randint(low, high))]
-        text = r.choice([" | ", " | ", " - "]).join(words) if 0.05 <= style < 0.15 else " ".join(words)
+        text = r.choice([" | ", " - ", " / ", " :: ", ", "]).join(words) if 0.05 <= style < 0.15 else " ".join(words)
         if style > 0.95:
             return text.upper() + "!!"
         return text[:1].upper() + text[1:] + r.choice([".", ".", ".", "?", "!", ""])
 
     def paragraph(self) -> str:
         n = self.r.choice([1, 1, 2, 3, 5, 8])
+        if self.r.random() < 0.03:
+            return " ".join([self.word() + self.r.choice(["", ","])] * self.r.randint(5, 80))
         return " ".join(self.sentence(1 if n == 1 else 4) for _ in range(n))
 
     def opened(self, spec: str) -> tuple[str, str]:
@@ -388,6 +454,10 @@ class Generator:
                 main.append(f"<div>{text}</div>")
             else:
                 main.append(f"<pre>{text}</pre>")
+        if r.random() < 0.06:
+            # the same short paragraph many times over
+            at = r.randrange(len(main) + 1)
+            main[at:at] = [f"<p>{sign}{self.sentence(1, 6)}</p>"] * r.randint(5, 80)
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             main.insert(r.randrange(len(main) + 1), self.part(r.choice(["ad", "share", "side", "notice", "form", "ad"])))
         if r.random() < 0.15:

@@ -118,3 +118,13 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * np.uint64(0xD1342543DE82EF95) + h[k : k + len(out)]
     return mix(out + np.uint64(n))
+
+
+def polynomial(h: np.ndarray, n: int) -> np.ndarray:
+    """Another hash of every n neighbouring values, independent of rolled(): read off a running sum of mixed values."""
+    if len(h) < n:
+        return np.zeros(0, dtype=np.uint64)
+    power, inverse = _tables(len(h) + 1)
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(mix(h + np.uint64(BASE)) * power[: len(h)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1] + np.uint64(n))

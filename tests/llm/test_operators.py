@@ -340,6 +340,8 @@ def test_repeated_passages(spark, seed):
         cut = r.randint(0, 30)
         parts.insert(r.randrange(4), a[cut:] if r.random() < 0.5 else a)
         rows.append((2000 + k, " ".join(w for p in parts for w in p), "en", "s", 0))
+    alone = " ".join(f"copy{k}" for k in range(70))
+    rows += [(2900, alone, "en", "s", 0), (2901, alone, "en", "s", 0), (2902, " ".join(alone.split()[:49]), "en", "s", 0)]
     rows.append((3000, "again " * 400, "en", "s", 0))
     rows.append((3001, "x " + "again " * 300, "en", "s", 0))
     want = plain_spans(rows, 50)

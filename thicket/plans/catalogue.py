@@ -144,14 +144,14 @@ def condensed_index(spark, sf_dir):
     return tanimoto(spark, sf_dir).condensed().select("k", F.round("d", 9).alias("d"))
 
 
-CROSS = f"""WITH {FP}, a AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS i, b FROM fp WHERE cls < 3),
-c AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS j, b FROM fp WHERE cls >= 7),
+CROSS = f"""WITH {FP}, a AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS i, b FROM fp WHERE cls < 5),
+c AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS j, b FROM fp WHERE cls >= 5 OR cls IS NULL),
 x AS (SELECT i, j, 1.0::DOUBLE - bit_count(a.b & c.b)::DOUBLE / bit_count(a.b | c.b) AS d FROM a, c)"""
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    return tuple(fp.fingerprints(e.where(c), "embedding", BITS, "vec_id") for c in ("label < 3", "label >= 7"))
+    return tuple(fp.fingerprints(e.where(c), "embedding", BITS, "vec_id") for c in ("label < 5", "label >= 5 or label is null"))
 
 
 @query(CROSS + " SELECT i, j, round(d, 9) AS d FROM x")
@@ -228,7 +228,11 @@ def core_distance(spark, sf_dir):
     return pairs.core_distances(tanimoto(spark, sf_dir), 5).select("idx", F.round("core", 9).alias("core"))
 
 
-@query(RANKED + ", c AS (SELECT idx, d AS core FROM r WHERE rank = 4) SELECT i, j, round(greatest(a.core, b.core, d), 9) AS d FROM pairs JOIN c a ON i = a.idx JOIN c b ON j = b.idx")
+@query(
+    f"""WITH {PAIRS.replace("pairs AS (", "pairs AS MATERIALIZED (")}, sym AS (SELECT i, j, d FROM pairs UNION ALL SELECT j, i, d FROM pairs),
+c AS MATERIALIZED (SELECT i AS idx, list_sort(list(d))[4] AS core FROM sym GROUP BY i)
+SELECT i, j, round(greatest(a.core, b.core, d), 9) AS d FROM pairs JOIN c a ON i = a.idx JOIN c b ON j = b.idx"""
+)
 def mutual_reachability(spark, sf_dir):
     p = tanimoto(spark, sf_dir)
     core = staged(pairs.core_distances(p, 5), "core")
@@ -302,7 +306,18 @@ def butina_centers(spark, sf_dir):
     return bt.butina(tanimoto(spark, sf_dir, 0.5), 0.5).extra["centres"]
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SYM.replace("pairs AS (", "pairs AS MATERIALIZED (")}, e AS MATERIALIZED (SELECT i AS src, j AS dst FROM sym WHERE d <= 0.5),
+s AS (
+  SELECT -1::BIGINT AS step, idx, -1::BIGINT AS place FROM fp
+  UNION ALL
+  (WITH w AS (SELECT step, idx FROM s WHERE place < 0),
+   g AS (SELECT x.idx, count(y.idx) AS n FROM w x LEFT JOIN e ON e.src = x.idx LEFT JOIN w y ON y.idx = e.dst GROUP BY x.idx),
+   c AS (SELECT idx FROM g ORDER BY n DESC, idx DESC LIMIT 1),
+   k AS (SELECT w.step + 1 AS step, w.idx, CASE WHEN w.idx IN (SELECT idx FROM c) THEN 0 WHEN w.idx IN (SELECT dst FROM e WHERE src IN (SELECT idx FROM c)) THEN 1 ELSE -1 END AS place FROM w)
+   SELECT step, idx, place::BIGINT FROM k))
+SELECT step::INT AS label, (row_number() OVER (PARTITION BY step ORDER BY place, idx) - 1)::INT AS pos, idx FROM s WHERE place >= 0"""
+)
 def butina_reordered(spark, sf_dir):
     return bt.butina(tanimoto(spark, sf_dir, 0.5), 0.5, reordering=True).members
 
@@ -384,19 +399,27 @@ def cluster_redundancy(spark, sf_dir):
 
 @query(
     f"""WITH {CARD}{COVER}{PROFILE}, w AS (SELECT {PROFILE_COLUMNS} FROM a, z), c AS (SELECT t, avg(CASE WHEN d <= t THEN 1.0 ELSE 0.0 END) AS v FROM nd, (SELECT unnest([0.25, 0.35, 0.45])::DOUBLE AS t) GROUP BY t),
+dia AS (SELECT x.label, coalesce(max(d), 0) AS dia FROM (SELECT DISTINCT label FROM m) x LEFT JOIN lp ON la = x.label AND lb = x.label GROUP BY x.label),
+bb AS (SELECT idx, min(mean) AS b FROM pc WHERE own <> other GROUP BY idx),
+profile AS (SELECT name AS metric, value AS v FROM (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM w) UNPIVOT (value FOR name IN (COLUMNS(*)))),
 every AS (
-  SELECT 'num_samples' AS metric, num_samples::DOUBLE AS v FROM w UNION ALL SELECT 'num_clusters', num_clusters FROM w UNION ALL SELECT 'num_noise', num_noise FROM w
-  UNION ALL SELECT 'noise_fraction', noise_fraction FROM w UNION ALL SELECT 'size_entropy', size_entropy FROM w
+  SELECT metric, v FROM profile
   UNION ALL SELECT 'boundary_violations', count(*) FROM lp WHERE la <> lb AND d <= 0.3
+  UNION ALL SELECT 'mean_intra_distance', avg(d) FROM lp WHERE la = lb
+  UNION ALL SELECT 'median_intra_distance', quantile_cont(d, 0.5) FROM lp WHERE la = lb
+  UNION ALL SELECT 'p95_diameter', quantile_cont(dia, 0.95) FROM dia
+  UNION ALL SELECT 'median_radius', quantile_cont(mx, 0.5) FROM med
+  UNION ALL SELECT 'median_medoid_member_distance', quantile_cont(mean, 0.5) FROM med
+  UNION ALL SELECT 'silhouette', avg(CASE WHEN greatest(mean, b) = 0 THEN 0 ELSE (b - mean) / greatest(mean, b) END) FROM me JOIN bb USING (idx)
+  UNION ALL SELECT 'dunn_index', min(d) FILTER (WHERE la <> lb) / max(d) FILTER (WHERE la = lb) FROM lp
+  UNION ALL SELECT 'representative_redundancy', quantile_cont(d, 0.5) FROM (SELECT i, min(d) AS d FROM sym WHERE i IN (SELECT idx FROM med) AND j IN (SELECT idx FROM med) GROUP BY i)
   UNION ALL SELECT 'coverage_at[' || t || ']', v FROM c)
 SELECT metric, round(v, 6) AS labels, round(CASE WHEN metric = 'coverage_at[0.25]' THEN v WHEN metric LIKE 'coverage%' THEN 'nan'::DOUBLE ELSE v END, 6) AS again FROM every"""
 )
 def report_compare(spark, sf_dir):
     labels, p = staged(labelled(spark, sf_dir), "labels"), tanimoto(spark, sf_dir)
     both = {"labels": report.report(labels, p), "again": report.report(labels, p, coverage_thresholds=(0.25,))}
-    wanted = ["num_samples", "num_clusters", "num_noise", "noise_fraction", "size_entropy", "boundary_violations"]
-    out = report.compare(both)
-    return rounded(out.where(F.col("metric").isin(wanted) | F.col("metric").startswith("coverage")))
+    return rounded(report.compare(both))
 
 
 # --- representatives -------------------------------------------------------------------------------------------------
@@ -479,19 +502,47 @@ def reassign_top_clusters(spark, sf_dir):
 # --- sequential clusterings ------------------------------------------------------------------------------------------
 
 
-@query()
+def _merges_sql(rule: str, clusters: int) -> str:
+    """Merges (step, a, b, d, size) until so many clusters are left; x and y are the distances of the two parts to
+    another cluster, na and nb their sizes."""
+    return f"""WITH RECURSIVE {PAIRS.replace("pairs AS (", "pairs AS MATERIALIZED (")}, total AS (SELECT count(*) AS n FROM fp),
+s AS (
+  SELECT 0::BIGINT AS step, i AS a, j AS b, d, 1::BIGINT AS sa, 1::BIGINT AS sb, false AS merged FROM pairs
+  UNION ALL
+  (WITH w AS (SELECT * FROM s WHERE NOT merged),
+   best AS (SELECT step, a, b, d, sa, sb, (SELECT n FROM total) + step AS id FROM w WHERE step < (SELECT n FROM total) - {clusters} ORDER BY d, a, b LIMIT 1),
+   x AS (SELECT CASE WHEN w.a = best.a THEN w.b ELSE w.a END AS c, CASE WHEN w.a = best.a THEN w.sb ELSE w.sa END AS sc, w.d AS x FROM w, best WHERE (w.a = best.a) <> (w.b = best.a) AND w.a <> best.b AND w.b <> best.b),
+   y AS (SELECT CASE WHEN w.a = best.b THEN w.b ELSE w.a END AS c, w.d AS y FROM w, best WHERE (w.a = best.b) <> (w.b = best.b) AND w.a <> best.a AND w.b <> best.a)
+   SELECT step, a, b, d, sa, sb, true FROM best
+   UNION ALL
+   SELECT w.step + 1, w.a, w.b, w.d, w.sa, w.sb, false FROM w, best WHERE w.a NOT IN (best.a, best.b) AND w.b NOT IN (best.a, best.b)
+   UNION ALL
+   SELECT best.step + 1, x.c, best.id, {rule}, x.sc, best.sa + best.sb, false FROM x JOIN y ON x.c = y.c, best)),
+merges AS MATERIALIZED (SELECT step, a, b, d, sa + sb AS size FROM s WHERE merged)"""
+
+
+CUT = """, up AS (SELECT a AS node, (SELECT n FROM total) + step AS parent FROM merges UNION ALL SELECT b, (SELECT n FROM total) + step FROM merges),
+t AS (SELECT idx, idx AS node FROM fp UNION ALL SELECT t.idx, up.parent FROM t JOIN up ON up.node = t.node),
+top AS (SELECT idx, max(node) AS root FROM t GROUP BY idx),
+own AS (SELECT root, min(idx) AS first FROM top GROUP BY root)
+SELECT idx, (dense_rank() OVER (ORDER BY first) - 1)::INT AS label FROM top JOIN own USING (root)"""
+AVERAGE = "(best.sa * x.x + best.sb * y.y) / (best.sa + best.sb)"
+
+
+@query(_merges_sql(AVERAGE, 10) + CUT)
 def agglomerative_average(spark, sf_dir):
     return hierarchy.agglomerative(tanimoto(spark, sf_dir), 10).assignments
 
 
-@query()
+@query(_merges_sql("greatest(x.x, y.y)", 10) + CUT)
 def agglomerative_complete(spark, sf_dir):
     return hierarchy.agglomerative(tanimoto(spark, sf_dir), 10, linkage="complete").assignments
 
 
-@query()
+@query(_merges_sql("(x.x + y.y) / 2", 1) + ' SELECT step::INT AS step, a AS "left", b AS "right", round(d, 9) AS distance, size FROM merges')
 def agglomerative_weighted(spark, sf_dir):
-    return hierarchy.agglomerative(tanimoto(spark, sf_dir), 10, linkage="weighted").extra["merges"]
+    found = hierarchy.agglomerative(tanimoto(spark, sf_dir), 10, linkage="weighted").extra["merges"]
+    return found.withColumn("distance", F.round("distance", 9))
 
 
 @query(_components_sql(0.48) + " SELECT idx, (dense_rank() OVER (ORDER BY root) - 1)::INT AS label FROM c")

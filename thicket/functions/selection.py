@@ -240,6 +240,17 @@ def selectors(atoms: DataFrame) -> DataFrame:
     return atoms.select(F.concat_ws(":", F.coalesce("resn", F.lit("")), F.col("resi").cast("string"), F.coalesce("icode", F.lit(" ")), F.coalesce("chain", F.lit(" "))).alias("selector")).distinct()
 
 
+def is_empty(selection: str) -> bool:
+    """Whether a selection says nothing, and so selects every atom."""
+    return not selection.strip()
+
+
+def structure_selectors(atoms: DataFrame) -> DataFrame:
+    """(idx, selectors): the distinct residue selectors of each structure, sorted."""
+    one = F.concat_ws(":", F.coalesce("resn", F.lit("")), F.col("resi").cast("string"), F.coalesce("icode", F.lit(" ")), F.coalesce("chain", F.lit(" ")))
+    return atoms.groupBy("idx").agg(F.sort_array(F.collect_set(one)).alias("selectors"))
+
+
 def selector_set(text: str) -> set[str]:
     """Selectors of a comma-, semicolon- or space-separated list."""
     return {s for s in re.split(r"[,;\s]+", text.strip()) if s}

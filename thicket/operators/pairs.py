@@ -85,6 +85,26 @@ def pdist_kernel(items: DataFrame, kernel: Kernel, comparison: str, columns: lis
     return PairFrame(both.mapInPandas(run, "i long, j long, d double"), n, comparison, kind)
 
 
+def cdist_kernel(a: DataFrame, b: DataFrame, kernel: Kernel, columns: list[str]) -> DataFrame:
+    """(i, j, d) of every item of a with every item of b, by a user's bulk kernel over two blocks of items."""
+    sizes = [max(1, min(MAX_BLOCKS, math.ceil(x.count() / BLOCK))) for x in (a, b)]
+    packed = [x.select("idx", *columns).groupBy(F.pmod("idx", F.lit(k)).cast("int").alias("blk")).agg(F.sort_array(F.collect_list(F.struct("idx", *columns))).alias("rows")) for x, k in zip((a, b), sizes, strict=True)]
+    x, y = packed[0].toDF("p", "l"), packed[1].toDF("q", "r")
+    grid = a.sparkSession.range(sizes[0]).select(F.col("id").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(sizes[1] - 1))).alias("q"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            for left, right in zip(batch["l"], batch["r"], strict=True):
+                one, two = (pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in rows]) for rows in (left, right))
+                d = np.asarray(kernel(one, two), dtype=float)
+                i, j = np.meshgrid(one["idx"].to_numpy(), two["idx"].to_numpy(), indexing="ij")
+                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "d": d.ravel()})
+
+    return grid.join(x, "p").join(y, "q").select("l", "r").mapInPandas(run, "i long, j long, d double")
+
+
 def similarity_join(items: DataFrame, cutoff: float, size: int, n_words: int = 1, n: int | None = None) -> PairFrame:
     """Exact pairs with Tanimoto distance <= cutoff (below 1), without looking at all pairs.
 

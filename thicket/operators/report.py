@@ -6,7 +6,9 @@ over all pairs that is grouped), and the medoids.  What isn't defined is NaN.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from types import MappingProxyType
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -213,6 +215,30 @@ def report(assignments: DataFrame, pairs: PairFrame, preset: str = "default", me
     return row.withColumn("coverage_thresholds", F.array(*map(F.lit, o.coverage_thresholds))).select(*SCALARS, "coverage_thresholds", "coverage_at")
 
 
+@dataclass(frozen=True)
+class Card:
+    """A report's figures as attributes that can't be set; `row` is the report."""
+
+    row: DataFrame
+    values: Mapping[str, Any]
+
+    def __getattr__(self, name: str) -> Any:
+        try:
+            return self.__dict__["values"][name]
+        except KeyError:
+            raise AttributeError(name) from None
+
+    def to_dict(self) -> dict[str, Any]:
+        return dict(self.values)
+
+
+def card(row: DataFrame) -> Card:
+    """The one row of a report as an object to read from."""
+    found = row.first().asDict()
+    found = {k: tuple(v) if isinstance(v, list) else v for k, v in found.items()}
+    return Card(row, MappingProxyType(found))
+
+
 def to_table(row: DataFrame, name: str) -> DataFrame:
     """(metric, <name>) of a report: the scalars, then coverage_at[t]."""
     flat = row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, SCALARS)), F.array(*[F.col(c).cast("double") for c in SCALARS]))).alias("metric", name))

@@ -18,6 +18,11 @@ def structures(atoms: DataFrame, selection: str = "") -> DataFrame:
     return rows.select("idx", F.flatten(F.transform("a", lambda r: F.array(r["x"], r["y"], r["z"]))).alias("coords"))
 
 
+def sides(reference: DataFrame, fit: DataFrame, predicate: str = "", ref_predicate: str | None = None, fit_predicate: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """structures() of both sides; a side's own predicate goes before the general one."""
+    return structures(reference, predicate if ref_predicate is None else ref_predicate), structures(fit, predicate if fit_predicate is None else fit_predicate)
+
+
 def kabsch(a: np.ndarray, b: np.ndarray) -> float:
     """RMSD of two n x 3 arrays after the best rotation and translation of b; NaN if they differ in size."""
     if a.shape != b.shape or not len(a):

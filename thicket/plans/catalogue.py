@@ -466,6 +466,7 @@ SELECT label, idx, round(score, 6) AS score, (row_number() OVER (PARTITION BY la
 )
 def rep_weighted(spark, sf_dir):
     meta = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), F.col("toxic").cast("double").alias("liability"), F.col("quality").cast("double").alias("priority"))
+    meta = meta.join(items(spark, sf_dir).select("idx"), "idx", "left_semi")
     return _ranked("weighted", [], beta=0.5, gamma=0.2, metadata=meta)(spark, sf_dir)
 
 

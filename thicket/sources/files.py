@@ -9,9 +9,11 @@ from __future__ import annotations
 import gzip
 import io
 import json
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,21 +75,52 @@ def read_design_units(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_pairs(pairs: PairFrame, path: str) -> None:
-    """The rows and, beside them, all that a reader must know, completeness and cutoff included."""
+    """The rows and, beside them, all that a reader must know, completeness, cutoff and labels included."""
     pairs.df.write.mode("overwrite").parquet(f"{path}/pairs")
-    labels = None if pairs.labels is None else [r["label"] for r in pairs.labels.orderBy("idx").collect()]
-    meta = {"n": pairs.n, "comparison": pairs.comparison, "kind": pairs.kind, "complete": pairs.complete, "cutoff": pairs.cutoff, "params": pairs.params, "labels": labels}
+    if pairs.labels is not None:
+        pairs.labels.select("idx", "label").write.mode("overwrite").parquet(f"{path}/labels")
+    meta = {"n": pairs.n, "comparison": pairs.comparison, "kind": pairs.kind, "complete": pairs.complete, "cutoff": pairs.cutoff, "params": pairs.params, "labelled": pairs.labels is not None}
     spark = pairs.df.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_pairs(spark: SparkSession, path: str) -> PairFrame:
     meta = json.loads(spark.read.text(f"{path}/meta", wholetext=True).first()[0])
-    labels = meta.pop("labels")
-    frame = None if labels is None else spark.createDataFrame(list(enumerate(labels)), "idx bigint, label string")
+    frame = spark.read.parquet(f"{path}/labels") if meta["labelled"] else None
     return PairFrame(spark.read.parquet(f"{path}/pairs"), meta["n"], meta["comparison"], meta["kind"], meta["complete"], meta["cutoff"], meta["params"], frame)
 
 
+def grow_pairs(spark: SparkSession, path: str, more: DataFrame, n: int, complete: bool = False) -> PairFrame:
+    """Add rows (i, j, d) of further items to saved pairs, which now have n items.  Without all pairs of the new items the
+    frame is incomplete: a pair without a row is unknown, not zero.  Labels stay with the items that had them."""
+    known = load_pairs(spark, path)
+    if n < known.n:
+        raise ClusterEngineError(f"{known.n} items are saved; a store doesn't shrink to {n}")
+    more.select("i", "j", "d").write.mode("append").parquet(f"{path}/pairs")
+    meta = {"n": n, "comparison": known.comparison, "kind": known.kind, "complete": complete and known.complete, "cutoff": known.cutoff, "params": known.params, "labelled": known.labels is not None}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return load_pairs(spark, path)
+
+
+def write_with(pairs: PairFrame, writer: Callable[[Iterator[pa.RecordBatch]], None]) -> int:
+    """Give the rows (i, j, d) to a store of one's own: writer gets the Arrow batches of one task, in every task.  A task
+    that runs again calls it again.  Returns the number of rows written."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for b in batches:
+                seen += b.num_rows
+                yield b
+
+        writer(counted())
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64())], names=["n"])
+
+    return int(pairs.df.select("i", "j", "d").mapInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
 # --- one dense matrix ----------------------------------------------------------------------------------------------------
 
 

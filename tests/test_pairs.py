@@ -168,3 +168,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert run(spark, ["fp", str(tmp_path / "in.parquet"), str(tmp_path / "in.parquet"), "-o", str(tmp_path / "o.csv"), "--numbits", "4"]) == 0
     assert run(spark, ["fp", str(tmp_path / "in.parquet"), "-o", str(tmp_path / "o.npy"), "--metric", "cosine"]) == 1
     assert "error:" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("heavy", [10_000, 3])
+def test_token_sets(spark, monkeypatch, heavy):
+    """Every link between different sets, and classes of equal ones, against all pairs."""
+    monkeypatch.setattr(pairs, "HEAVY", heavy)
+    r = random.Random(6)
+    base = [[f"w{r.randrange(40)}" for _ in range(r.randint(1, 14))] for _ in range(25)]
+    rows = [(k, [w for w in x if r.random() < 0.93]) for k, x in enumerate(base * 3)] + [(100, base[0][::-1]), (101, base[0] * 2), (102, []), (103, []), (104, None)]
+    links, members = pairs.token_jaccard(spark.createDataFrame(rows, "doc bigint, tok array<string>"), "doc", "tok", 0.6)
+    sets = {k: frozenset(x or ()) for k, x in rows}
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    first = {k: min([j for j in sets if sets[j] == sets[k] and sets[k]] or [k]) for k in sets}
+    assert {x["idx"]: (x["class_id"], x["class_size"]) for x in members.collect()} == {k: (first[k], sum(f == first[k] for f in first.values())) for k in sets}
+    tops = sorted(set(first.values()))
+    want = {(i, j): jac(sets[i], sets[j]) for i in tops for j in tops if i < j and jac(sets[i], sets[j]) >= 0.6}
+    assert {(x["i"], x["j"]): x["jaccard"] for x in links.collect()} == pytest.approx(want) and want
+    got = {x["idx"]: x["n_links"] for x in pairs.link_counts(links, members).collect()}
+    assert got == {k: sum(j != k and jac(sets[j], sets[k]) >= 0.6 for j in sets) for k in sets}

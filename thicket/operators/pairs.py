@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from ..sources.staging import staged
 
 BLOCK = 256
 MAX_BLOCKS = 64
+#: Tokens whose frequency orders them in token_jaccard().
+HEAVY = 10_000
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], "object"]
 
 
@@ -137,22 +140,58 @@ def similarity_join(items: DataFrame, cutoff: float, size: int, n_words: int = 1
     return PairFrame(df.where(F.col("d") <= cutoff), n, "tanimoto", "distance", False, cutoff)
 
 
-def token_jaccard(docs: DataFrame, id_col: str, tokens: str, threshold: float) -> DataFrame:
-    """(i, j, jaccard) of the pairs of token sets with Jaccard similarity >= threshold, by the prefix filter."""
-    sets = docs.select(F.col(id_col).alias("idx"), F.array_distinct(tokens).alias("tok")).where(F.size("tok") > 0)
-    one = sets.select("idx", F.explode("tok").alias("t"))
-    rank = one.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ordered = one.join(rank, "t").groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("all"))
-    size = F.size("all")
-    pre = staged(ordered.select("idx", F.transform("all", lambda x: x["t"]).alias("tok"), (size - F.ceil(F.lit(threshold - 1e-12) * size) + 1).cast("int").alias("p")), "token-sets")
-    pre = pre.withColumn("prefix", F.slice("tok", F.lit(1), F.col("p")))
-    spread = pre.select("idx", F.size("tok").alias("n"), "prefix", F.explode("prefix").alias("t"))
-    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.idx") < F.col("b.idx")) & (F.col("b.n") >= (threshold - 1e-12) * F.col("a.n")) & (F.col("a.n") >= (threshold - 1e-12) * F.col("b.n"))
-    cand = spread.alias("a").join(spread.alias("b"), on).select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct()
-    x, y = pre.select(F.col("idx").alias("i"), F.col("tok").alias("ti")), pre.select(F.col("idx").alias("j"), F.col("tok").alias("tj"))
+def token_jaccard(docs: DataFrame, id_col: str, tokens: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Exact similarity join of token sets (Jaccard >= threshold, above 0), as links (i, j, jaccard) with i < j between
+    classes of equal sets, each named by its smallest id, and members (idx, class_id, class_size) of every row; so copies
+    never meet in pairs.  An empty set is alone in its class.
+
+    Prefix filter: with tokens in one order for all, from rare to frequent, two similar sets share one among the first
+    n - ceil(threshold * n) + 1 of each.  Only the HEAVY most frequent tokens need their place in that order; they go to
+    every task, all others come before them by hash.  Tokens are 64 bits of hash, a set is its tokens' 128.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be in (0, 1]")
+    least = threshold - 1e-12
+    hashes = F.array_sort(F.array_distinct(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda w: F.xxhash64(w))))
+    rows = docs.select(F.col(id_col).alias("idx"), hashes.alias("tok"))
+    alone = F.when(F.size("tok") == 0, F.col("idx"))
+    rows = rows.withColumns({"k1": F.xxhash64("tok", alone), "k2": F.xxhash64(F.lit(1), "tok", alone)})
+    sets = staged(rows.groupBy("k1", "k2").agg(F.min("idx").alias("node"), F.count(F.lit(1)).alias("class_size"), F.first("tok").alias("tok")), "token-sets")
+    members = rows.select("idx", "k1", "k2").join(sets.select("k1", "k2", "node", "class_size"), ["k1", "k2"]).select("idx", F.col("node").alias("class_id"), "class_size")
+
+    counts = sets.select(F.explode("tok").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    heavy = counts.where("f > 1").orderBy(F.desc("f"), "t").limit(HEAVY).collect()
+    place = docs.sparkSession.sparkContext.broadcast({r["t"]: len(heavy) - k for k, r in enumerate(heavy)})
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, n, prefix) of every set."""
+        late = place.value
+        for batch in batches:
+            out, sizes = [], []
+            for tok in batch.column(1).to_pylist():
+                tok.sort(key=lambda t: (late.get(t, 0), t))
+                sizes.append(len(tok))
+                out.append(tok[: len(tok) - math.ceil(least * len(tok)) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["node", "n", "prefix"])
+
+    kind = sets.schema["node"].dataType.simpleString()
+    prefixes = sets.where(F.size("tok") > 0).select("node", "tok").mapInArrow(ordered, f"node {kind}, n int, prefix array<long>")
+    spread = staged(prefixes.select("node", "n", F.explode("prefix").alias("t")), "prefixes")
+    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.node") < F.col("b.node")) & (F.col("b.n") >= least * F.col("a.n")) & (F.col("a.n") >= least * F.col("b.n"))
+    pairs = spread.alias("a").join(spread.alias("b"), on).select(F.col("a.node").alias("i"), F.col("b.node").alias("j")).distinct()
+    x, y = (sets.select(F.col("node").alias(c), F.col("tok").alias(f"t{c}")) for c in "ij")
     both = F.size(F.array_intersect("ti", "tj"))
-    out = cand.join(x, "i").join(y, "j").withColumn("both", both)
-    return out.select("i", "j", (F.col("both") / (F.size("ti") + F.size("tj") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    found = pairs.join(x, "i").join(y, "j").select("i", "j", (both / (F.size("ti") + F.size("tj") - both)).alias("jaccard"))
+    return staged(found.where(F.col("jaccard") >= threshold), "token-links"), members
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(idx, class_id, n_links): with how many other rows each row is linked, from classes and the links between them."""
+    size = members.select("class_id", "class_size").distinct()
+    ends = links.select("i", "j").union(links.select("j", "i")).toDF("class_id", "other")
+    near = ends.join(size.toDF("other", "others"), "other").groupBy("class_id").agg(F.sum("others").alias("more"))
+    known = members.join(near, "class_id", "left")
+    return known.select("idx", "class_id", (F.col("class_size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
 
 
 def core_distances(pairs: PairFrame, k: int) -> DataFrame:
@@ -192,4 +231,4 @@ def no_nan(d: Column) -> Column:
     return F.when(F.isnan(d), F.raise_error(F.lit("NaN distance"))).otherwise(d)
 
 
-__all__ = ["NAN", "ClusterEngineError", "block_pairs", "cdist", "cdist_zeroed", "core_distances", "degree", "nearest", "no_nan", "pdist", "pdist_kernel", "similarity_join", "token_jaccard"]
+__all__ = ["NAN", "ClusterEngineError", "block_pairs", "cdist", "cdist_zeroed", "core_distances", "cdist_kernel", "degree", "link_counts", "nearest", "no_nan", "pdist", "pdist_kernel", "similarity_join", "token_jaccard"]

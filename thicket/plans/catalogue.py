@@ -165,15 +165,18 @@ def cdist_cutoff_zero(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS tok FROM documents),
+    r"""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS tok FROM documents),
 u AS (SELECT doc_id, len(tok) AS n, unnest(tok) AS w FROM t),
-c AS (SELECT x.doc_id AS i, y.doc_id AS j, x.n AS a, y.n AS b, count(*) AS k FROM u x JOIN u y ON x.w = y.w AND x.doc_id < y.doc_id AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n GROUP BY ALL)
-SELECT i, j, round(k / (a + b - k), 9) AS jaccard FROM c WHERE k / (a + b - k) >= 0.8"""
+c AS (SELECT x.doc_id AS i, y.doc_id AS j, x.n AS a, y.n AS b, count(*) AS k FROM u x JOIN u y ON x.w = y.w AND x.doc_id < y.doc_id AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n GROUP BY ALL),
+f AS (SELECT i, j FROM c WHERE k / (a + b - k) >= 0.8),
+l AS (SELECT id, count(*) AS n FROM (SELECT i AS id FROM f UNION ALL SELECT j FROM f) GROUP BY id)
+SELECT doc_id, CASE WHEN len(tok) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY tok) END AS class_id, coalesce(l.n, 0) AS n_links FROM t LEFT JOIN l ON doc_id = l.id"""
 )
 def doc_jaccard_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return pairs.token_jaccard(docs.select("doc_id", tokens.alias("tok")), "doc_id", "tok", 0.8).select("i", "j", F.round("jaccard", 9).alias("jaccard"))
+    links, members = pairs.token_jaccard(docs.select("doc_id", tokens.alias("tok")), "doc_id", "tok", 0.8)
+    return pairs.link_counts(links, members).withColumnRenamed("idx", "doc_id")
 
 
 # --- fingerprints and their sums -------------------------------------------------------------------------------------

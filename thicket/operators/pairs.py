@@ -176,8 +176,10 @@ def token_jaccard(docs: DataFrame, id_col: str, tokens: str, threshold: float) -
 
     kind = sets.schema["node"].dataType.simpleString()
     prefixes = sets.where(F.size("tok") > 0).select("node", "tok").mapInArrow(ordered, f"node {kind}, n int, prefix array<long>")
-    spread = staged(prefixes.select("node", "n", F.explode("prefix").alias("t")), "prefixes")
+    spread = staged(prefixes.select("node", "n", F.posexplode("prefix").alias("at", "t")), "prefixes")
     on = (F.col("a.t") == F.col("b.t")) & (F.col("a.node") < F.col("b.node")) & (F.col("b.n") >= least * F.col("a.n")) & (F.col("a.n") >= least * F.col("b.n"))
+    # from their first common token on, two sets must have enough left to share
+    on = on & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     pairs = spread.alias("a").join(spread.alias("b"), on).select(F.col("a.node").alias("i"), F.col("b.node").alias("j")).distinct()
     x, y = (sets.select(F.col("node").alias(c), F.col("tok").alias(f"t{c}")) for c in "ij")
     both = F.size(F.array_intersect("ti", "tj"))

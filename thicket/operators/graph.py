@@ -69,12 +69,11 @@ def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_
     which end in O(log^2 n) rounds: no vertex ever gathers more than its own edges, and the joins can be split by
     adaptive execution where a vertex is hot.
     """
-    e = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
-    e = staged(e, "edges")
-    n = e.count()
-    if n <= local_edges:
+    e = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
+    if e.limit(local_edges + 1).count() <= local_edges:
         e = staged(e.coalesce(1).mapInArrow(_forest, "src bigint, dst bigint"), "stars")
     else:
+        e = staged(e.distinct(), "edges")
         e = staged(e.mapInArrow(_forest, "src bigint, dst bigint").distinct(), "stars")
         seen = None
         for _ in range(max_rounds):

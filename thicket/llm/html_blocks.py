@@ -38,7 +38,7 @@ from .common import byte_chunks, texts_of, tidy
 PATH, WORDS, SHAPE = 128, 48, 8
 WIDTH = PATH + WORDS + SHAPE
 HIDDEN = 24
-TRAIN_PAGES, EPOCHS, SEED = 3_000, 10, 20
+TRAIN_PAGES, EPOCHS, SEED = 2_400, 8, 20
 BATCH = 256
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]")
@@ -61,6 +61,10 @@ def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
 
 
+#: What the made-up words of training pages are put together from.
+SYLLABLES = [a + b for a in "etaonrishdlucmwfgypbvké" for b in "aeiouêäntr"]
+
+
 @dataclass
 class Block:
     """path: the names (tags, classes and ids of ancestors) nearest to the block, the nearest last, or all of them;
@@ -376,8 +380,7 @@ class Generator:
         self.r = random.Random(seed)
 
     def word(self) -> str:
-        r = self.r
-        return "".join(r.choice("etaonrishdlucmwfgypbvké") + r.choice("aeiouêäntr") for _ in range(r.randint(1, 5)))
+        return "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 5)))
 
     def sentence(self, low: int = 4, high: int = 18) -> str:
         r = self.r

@@ -388,7 +388,7 @@ def test_one_text_against_many():
         assert known.similarities(i, np.arange(len(texts))) == pytest.approx([plain_jaccard(texts[i], t) for t in texts])
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHRINK": -1.0, "BLOCK": 3, "OTHERS": 5}, {"SHRINK": -1.0, "SPLIT": 4}])
+@pytest.mark.parametrize("limits", [{"FEW": 0}, {"BLOCK": 3, "OTHERS": 5}, {"SPLIT": 4}])
 def test_near_duplicates(spark, monkeypatch, limits):
     """Buckets settled by rounds of pivots; by blocks; and cut by further bands."""
     for k, v in limits.items():

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.  All stages but the last return the columns of `documents`.
+
+Nulls count as empty texts and stay until an equal text goes before them; of rows that repeat one stays.  Without labels
+of both classes nothing is toxic, and without any there is one domain, so nothing is thinned.  Empty tables pass through,
+and further columns of `documents` are kept, whatever their names.  Ties are as the operators state them.
 """
 
 from __future__ import annotations

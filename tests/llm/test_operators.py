@@ -477,3 +477,18 @@ def test_pipeline(spark, tmp_path):
     model = sentencepiece_scan.vocabulary(sentencepiece_scan.read_model()).processor
     for k, r in got.items():
         assert r["n_tokens"] == len(model.encode(texts[k])) and r["decoded_sha256"] == hashlib.sha256(texts[k].encode()).hexdigest()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in every column, repeated rows, no labels, a further column; and empty tables."""
+    rows, _ = labelled_corpus(5)
+    rows = [*rows[:40], rows[0], (None, None, None, None, None), (None, "lost id", None, None, 7), (900, None, "en", None, None), (901, "", "en", "s", 0)]
+    for name, docs in (("some", frame(spark, rows, extra=True)), ("none", empty(spark))):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], LABELS).write.parquet(f"{at}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, at).columns == docs.columns
+        got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, at).collect())
+        # of the empty texts the one with the largest id stays
+        assert got == (Counter([*(k for k, *_ in rows[:40]), None, 901]) if name == "some" else Counter())

@@ -428,6 +428,33 @@ def test_near_duplicates(spark, monkeypatch, limits):
         prob_minhash.decide(df, threshold=0.5)
 
 
+def alike_pairs(seed, n, size=150):
+    """n pairs of texts, alike by 0.81, all made from one base, so that many share a band; no others are alike."""
+    r = random.Random(seed)
+    base, out = words(r, size, 5000), []
+    for k in range(n):
+        one = list(base)
+        for i in r.sample(range(size), 5):
+            one[i] = f"one{k}x{i}"
+        two = list(one)
+        for i in r.sample(range(5, size - 5, 10), 3):
+            two[i] = f"two{k}x{i}"
+        out += [" ".join(one), " ".join(two)]
+    return out
+
+
+@pytest.mark.parametrize("split", [4, 2_048])
+def test_large_buckets_lose_no_link(spark, monkeypatch, split):
+    """Buckets with more members than SPLIT give the same links as smaller ones, also for pairs that share one band only."""
+    monkeypatch.setattr(prob_minhash, "SPLIT", split)
+    texts = alike_pairs(0, 300)
+    known, many = prob_minhash.Shingled(texts), np.arange(len(texts))
+    want = {(i, j) for i in range(len(texts)) for j in np.flatnonzero(known.similarities(i, many) >= 0.8).tolist() if i < j}
+    assert want == {(2 * k, 2 * k + 1) for k in range(300)}
+    got = prob_minhash.decide(frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()
+    assert {(x["class_id"], x["doc_id"]) for x in got if x["class_id"] != x["doc_id"]} == want
+
+
 # --- 9, 10 -------------------------------------------------------------------------------------------------------------
 
 

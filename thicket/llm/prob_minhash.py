@@ -11,8 +11,10 @@ themselves if enough components of the two sketches agree.  Components of verifi
 a bucket are never all written out.  Buckets are settled in rounds: each round, one member of every bucket that still
 holds several components, the pivot, meets the members of other components, and leaves; so a round makes at most one
 pair for each member, and members that are linked to each other need no pair.  When rounds no longer shrink what is
-apart, or it is little (FEW), the members outside the bucket's largest component meet all others in blocks inside tasks.  Buckets with more
-than SPLIT such members are first cut by a second band (then a third) that the members share: similar texts share many.
+apart, or it is little (FEW), the members outside the bucket's largest component meet all others in blocks inside tasks.
+Buckets with more than SPLIT such members are first cut by rare shingles, one of which any two similar texts share, so
+that no link is lost: J_P is at most 1 / (1/a + 1/b - 1) where shared shingles have the shares a and b of the weights of
+the two texts.  What is still large after that meets in blocks as well, whole.
 
 Words are runs of non-space, compared after str.lower().  A text of one to four words has one shingle, of all its
 words; a text without words, empty or null, is alone in its class unless its very text is repeated.  Equal texts are one
@@ -28,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import BROADCAST_ROWS, byte_chunks, few_rows, staged, texts_of, tidy
+from .common import BROADCAST_ROWS, byte_chunks, checked_join, few_rows, staged, texts_of, tidy
 from .wordhash import Batch, mix, uniform
 
 SHINGLE = 5
@@ -42,8 +44,8 @@ BANDS = 16
 LANES = COMPONENTS // BANDS
 #: Members outside the largest component, and members of any, that are held against each other in one task.
 BLOCK, OTHERS = 256, 1024
-#: Members outside the largest component from which a bucket is cut by another band, at most DEEPEST times.
-SPLIT, DEEPEST = 2_048, 2
+#: Members outside the largest component from which a bucket is cut by rare shingles.
+SPLIT = 2_048
 #: Rounds of pivots go on while a round leaves at most this share of the members that were apart.
 SHRINK = 0.7
 #: Members apart in all buckets that need no more rounds: they meet in blocks at once.
@@ -180,8 +182,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: floa
 
 def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (i outside the largest component, j) of one block pair that are worth a look at their texts, the most alike
-    first, and in how many components each agrees.  A pair is looked at in the first buckets that it shares."""
-    band, depth = group.column("band")[0].as_py(), group.column("depth")[0].as_py()
+    first, and in how many components each agrees.  A pair is looked at in the first band that it shares."""
+    band = group.column("band")[0].as_py()
     node, comp, side, out = (group.column(c).to_numpy() for c in ("node", "c", "side", "out"))
     sketch = group.column("_sketch").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     lanes = sketch.view(np.uint16)
@@ -190,7 +192,7 @@ def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in left.tolist():
         agree = (lanes[right] == lanes[i]).sum(axis=1)
         some = (agree >= LEAST_AGREEING) & (comp[right] != comp[i]) & (~out[right] | (node[right] > node[i]))
-        some[some] = (sketch[right[some], :band] == sketch[i, :band]).sum(axis=1) == depth
+        some[some] = (sketch[right[some], :band] != sketch[i, :band]).all(axis=1)
         j = right[some]
         found.append(np.stack([np.full(len(j), i), j, agree[some]]))
     i, j, agree = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
@@ -250,31 +252,69 @@ def _meet(group: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text, and what share of the text's weight each has."""
+    for batch in batches:
+        node, text = batch.column(0).to_numpy(), batch.column(1)
+        for start, stop in byte_chunks(text):
+            who, shingle, weight = weighted_shingles(texts_of(text, start, stop))
+            share = weight / np.bincount(who, weights=weight, minlength=stop - start)[who]
+            yield pa.RecordBatch.from_arrays([pa.array(node[start:stop][who]), pa.array(shingle.view(np.int64)), pa.array(share)], names=["node", "shingle", "share"])
+
+
+def _rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, shingle, n, rest): shingles in order of the number n of texts that have them, up to the last one from
+    which the rest of the text's weight, itself included, is `threshold`.  All that two texts share lies in the rests
+    of the first shingle they share, and J_P is at most either rest, so similar texts have that shingle here."""
+    shares = staged(texts.select("node", "_text").mapInArrow(tidy(_shares), "node long, shingle long, share double"), "shares")
+    common = staged(shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
+    before = Window.partitionBy("node").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = checked_join(shares, common, "shingle").withColumn("n", F.coalesce("n", F.lit(1)))
+    ranked = ranked.withColumn("rest", 1 - F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+    return ranked.where((F.col("n") > 1) & (F.col("rest") >= threshold - 1e-9)).select("node", "shingle", "n", "rest")
+
+
+def _cut(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Members (bucket, band, node, c) dealt to smaller buckets, one for each rare shingle, without losing a link.  Of
+    two similar texts one at least has the flag `lead`: 1 / J_P >= 1/a + 1/b - 1 asks for a or b of 2 t / (1 + t)."""
+    rare = _rare_shingles(texts.join(large.select("node").distinct(), "node"), threshold)
+    met = staged(large.select("bucket", "band", "node", "c").join(rare, "node"), "rare")
+    alike = (F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2))
+    groups = met.groupBy("bucket", "n", "shingle").agg(F.max("rest").alias("most"), F.count(F.lit(1)).alias("many"), *alike, F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    # of shingles with the same members, the first
+    order = F.struct("n", "shingle")
+    groups = groups.groupBy("bucket", "many", "x0", "x1").agg(F.min_by("shingle", order).alias("shingle"), F.min_by("most", order).alias("most"))
+    near = met.join(groups.select("bucket", "shingle", "most"), ["bucket", "shingle"]).where(1 / F.col("rest") + 1 / F.col("most") <= 1 + 1 / threshold + 1e-9)
+    return near.select(F.xxhash64("bucket", "shingle").alias("bucket"), "band", "node", "c", (F.col("rest") >= 2 * threshold / (1 + threshold) - 1e-9).alias("lead"))
+
+
+def _mixed(members: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The members (bucket, band, node, c, lead) of buckets that hold several components.  `out` marks those that meet
+    all: the ones outside the largest component, or the leads if they are fewer."""
+    sizes = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("leads"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("leads").alias("leads"))
+    mixed = mixed.where("most < n and leads > 0").withColumn("by_lead", F.col("leads") < F.col("n") - F.col("most"))
+    inner = members.join(mixed, "bucket").withColumn("outside", F.least("leads", F.col("n") - F.col("most")))
+    inner = inner.withColumn("out", F.when(F.col("by_lead"), F.col("lead")).otherwise(F.col("c") != F.col("main")))
+    return staged(inner.select("bucket", "band", "node", "c", "n", "outside", "out").join(sketch, "node"), "mixed")
+
+
 def _cross_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links among the members (bucket, band, node, c) of buckets that hold several components: all that are outside the
-    bucket's largest component against all.  A member stands in as many rows as the others fill blocks, which SPLIT
-    bounds; texts are fetched only for members that have a candidate by their sketches."""
+    bucket's largest component against all, in buckets that have more than SPLIT of them by rare shingles.  A member
+    stands in as many rows as the others fill blocks; texts are fetched only for members that have a candidate by their
+    sketches."""
     spark, sketch = members.sparkSession, nodes.select("node", "_sketch")
-    members, done = members.withColumn("depth", F.lit(0)), None
-    for depth in range(DEEPEST + 1):
-        sizes = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
-        inner = members.join(mixed, "bucket").withColumn("outside", F.col("n") - F.col("most")).withColumn("out", F.col("c") != F.col("main"))
-        inner = staged(inner.select("bucket", "band", "depth", "node", "c", "n", "outside", "out").join(sketch, "node"), "mixed")
-        large = inner.where(F.col("outside") > SPLIT)
-        last = depth == DEEPEST or large.isEmpty()
-        here = inner if last else inner.where(F.col("outside") <= SPLIT)
-        done = here if done is None else done.union(here)
-        if last:
-            break
-        cut = large.select("bucket", "band", "depth", "node", "c", F.posexplode("_sketch").alias("next", "value")).where("next > band")
-        members = cut.select(F.xxhash64("bucket", "next", "value").alias("bucket"), F.col("next").alias("band"), F.col("depth") + 1, "node", "c").toDF("bucket", "band", "depth", "node", "c")
+    done = _mixed(members.withColumn("lead", F.lit(True)), sketch)
+    large = done.where(F.col("outside") > SPLIT)
+    if not large.isEmpty():
+        done = done.where(F.col("outside") <= SPLIT).unionByName(_mixed(staged(_cut(large, texts, threshold), "cut"), sketch))
     blocks, others = (F.ceil(F.col(c) / k).cast("int") for c, k in (("outside", BLOCK), ("n", OTHERS)))
-    fields = ["bucket", "band", "depth", "node", "c", "out", "_sketch"]
+    fields = ["bucket", "band", "node", "c", "out", "_sketch"]
     first = done.where("out").withColumn("p", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("side", F.lit(0))
     second = done.withColumn("p", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("q", F.pmod(F.xxhash64("node", F.lit(1)), others).cast("int")).withColumn("side", F.lit(1))
     dealt = first.select(*fields, "p", "q", "side").union(second.select(*fields, "p", "q", "side"))
-    schema = "bucket long, band int, depth int, node long, c long, out boolean, _sketch array<long>, p int, q int, side int"
+    schema = "bucket long, band int, node long, c long, out boolean, _sketch array<long>, p int, q int, side int"
     wanted = staged(dealt.groupBy("bucket", "p", "q").applyInArrow(_wanted, schema), "wanted")
     with few_rows(spark, 512):
         return staged(wanted.join(texts, "node").groupBy("bucket", "p", "q").applyInArrow(lambda t: _meet(t, threshold), "src long, dst long"), "links")

@@ -455,6 +455,26 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, split):
     assert {(x["class_id"], x["doc_id"]) for x in got if x["class_id"] != x["doc_id"]} == want
 
 
+def test_bound_on_the_similarity_of_what_shares_little():
+    """J_P is at most 1 / (1/a + 1/b - 1), where shared elements have shares a and b of the weights."""
+    g = np.random.default_rng(0)
+    for k in range(300):
+        n, m = g.integers(2, 40), g.integers(0, 8, 2)
+        both = np.arange(n, dtype=np.uint64)
+        x, y = (g.integers(1, 1 + g.integers(1, 6), n + e).astype(float) for e in m)
+        a, b = (np.concatenate((both, np.arange(e, dtype=np.uint64) + np.uint64(100 * i))) for i, e in enumerate(m, 1))
+        found = prob_minhash.probability_jaccard(a, x, b, y)
+        assert found <= 1 / (x.sum() / x[:n].sum() + y.sum() / y[:n].sum() - 1) + 1e-9
+
+
+def test_near_copies_of_large_buckets_all_go(spark, monkeypatch):
+    """The pipeline's stage drops one of each pair, however many texts share the pair's only band."""
+    monkeypatch.setattr(prob_minhash, "SPLIT", 4)
+    docs = frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(alike_pairs(0, 300))])
+    stay = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(x["doc_id"] for x in stay) == list(range(0, 600, 2))
+
+
 # --- 9, 10 -------------------------------------------------------------------------------------------------------------
 
 

@@ -475,6 +475,48 @@ def test_near_copies_of_large_buckets_all_go(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in stay) == list(range(0, 600, 2))
 
 
+def unlucky_pairs():
+    """Pairs of texts, alike by 0.8, whose sketches share a band but agree in 32 to 34 of 64 components; and to each pair
+    40 texts that are like it by less, of which some share that band."""
+    out = []
+    for k in (559646, 1215675, 1610318, 3959032, 4020814):
+        w = [f"{k}.{i}" for i in range(14)]
+        one, two = w[:13], w[:12] + w[13:]
+        out.append([" ".join(x) for x in (one, two, *(one + [f"{k}.{m}.{i}" for i in range(6)] for m in range(40)))])
+    return out
+
+
+def test_pairs_whose_sketches_agree_little_are_linked(spark):
+    """A pair is linked by its texts, in the rounds of pivots and in blocks, however few components of its sketches agree."""
+    groups = unlucky_pairs()
+    for one, two, *others in groups:
+        assert plain_jaccard(one, two) == pytest.approx(0.8) and max(plain_jaccard(x, y) for x in (one, two) for y in others) < 0.7
+        who, s, w = prob_minhash.weighted_shingles([one, two])
+        a, b = prob_minhash.packed(prob_minhash.sketches(2, who, s, w))
+        assert (a == b).any() and (a.view(np.uint16) == b.view(np.uint16)).sum() < 35
+    docs = frame(spark, [(100 * k + i, t, "en", "s", 0) for k, g in enumerate(groups) for i, t in enumerate(g)])
+    stay = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(x["doc_id"] for x in stay) == [100 * k + i for k, g in enumerate(groups) for i in range(len(g)) if i != 1]
+
+
+def test_bitmaps_pass_over_no_similar_pair():
+    r, texts = random.Random(2), []
+    for n in (1, 3, 6, 12, 40, 200, 1500):
+        base = words(r, n, 5000)
+        texts += [" ".join(base), " ".join(base + base[: n // 2]), " ".join(base[: n - n // 9]), " ".join(words(r, n, 5000))]
+        texts += [" ".join(base[:i] + words(r, 1) + base[i + 1 :]) for i in r.sample(range(n), min(n, 3))]
+    who, s, w = prob_minhash.weighted_shingles(texts)
+    bits, size = prob_minhash.bitmaps(len(texts), who, s), np.bincount(who, weights=w)
+    known, many = prob_minhash.Shingled(texts), np.arange(len(texts))
+    passed = 0
+    for i in range(len(texts)):
+        for t in (0.8, 0.9):
+            may = prob_minhash.may_be_alike(bits[i], size[i], bits, size, t)
+            assert may[known.similarities(i, many) >= t].all()
+            passed += int((~may).sum())
+    assert passed > len(texts) ** 2
+
+
 # --- 9, 10 -------------------------------------------------------------------------------------------------------------
 
 

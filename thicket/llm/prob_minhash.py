@@ -7,11 +7,12 @@ random components of the sketch; a component keeps its first arrival, and a proc
 later than everything kept.  Two sketches agree in a component with probability J_P.
 
 The sketch is cut into BANDS bands; texts that agree in a band are candidates; a candidate pair is verified on the texts
-themselves if enough components of the two sketches agree.  Components of verified links are the classes.  Pairs within
-a bucket are never all written out.  Buckets are settled in rounds: each round, one member of every bucket that still
-holds several components, the pivot, meets the members of other components, and leaves; so a round makes at most one
-pair for each member, and members that are linked to each other need no pair.  When rounds no longer shrink what is
-apart, or it is little (FEW), the members outside the bucket's largest component meet all others in blocks inside tasks.
+themselves unless bitmaps of their shingles show that it can't be similar, which is exact: in how many components sketches
+agree drops no pair.  Components of verified links are the classes.  Pairs within a bucket are never all written out.
+Buckets are settled in rounds: each round, one member of every bucket that still holds several components, the pivot,
+meets the members of other components, and leaves; so a round makes at most one pair for each member, and members that
+are linked to each other need no pair.  When rounds no longer shrink what is apart, or it is little (FEW), the members
+outside the bucket's largest component meet all others in blocks inside tasks.
 Buckets with more than SPLIT such members are first cut by rare shingles, one of which any two similar texts share, so
 that no link is lost: J_P is at most 1 / (1/a + 1/b - 1) where shared shingles have the shares a and b of the weights of
 the two texts.  What is still large after that meets in blocks as well, whole.
@@ -50,8 +51,11 @@ SPLIT = 2_048
 SHRINK = 0.7
 #: Members apart in all buckets that need no more rounds: they meet in blocks at once.
 FEW = 20_000
-#: Pairs of different components meet only if this many of the 64 components agree: at J_P = 0.8 fewer do with p < 1e-6.
-LEAST_AGREEING = 35
+#: Bits of the map of a text's shingles, by which pairs that can't be similar are passed over.
+BITS = 1024
+#: What is kept of each text: packed sketch, bitmap and weight of all shingles.
+SKETCHED = ("_sketch", "_bits", "_size")
+_SKETCHED = "_sketch array<long>, _bits array<long>, _size double"
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -116,18 +120,37 @@ def packed(sketch: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmaps(n: int, who: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """n x BITS / 64: each shingle sets one bit of its text's map."""
+    out = np.zeros((n, BITS), dtype=bool)
+    out[who, (mix(shingle ^ np.uint64(_GOLDEN)) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def may_be_alike(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether texts with the bitmaps a, b and the weights x, y may be similar.  A bit of one text only is a shingle of
+    that text only, of weight 1 at least, which bounds the shares of what is shared, and these bound J_P."""
+    alone = (np.bitwise_count(p & ~q).sum(axis=-1, dtype=np.int64) for p, q in ((a, b), (b, a)))
+    inverse = sum(w / np.maximum(w - n, 1e-9) for w, n in zip((x, y), alone, strict=True))
+    return inverse <= 1 + 1 / threshold + 1e-9
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, out, some = batch.column(2), [], []
+        text, out, maps, weights = batch.column(2), [], [], []
         for start, stop in byte_chunks(text):
             who, shingle, weight = weighted_shingles(texts_of(text, start, stop))
             out.append(packed(sketches(stop - start, who, shingle, weight)))
-            some.append(np.bincount(who, minlength=stop - start) > 0)
-        flat = np.concatenate(out).astype(np.uint64).view(np.int64).ravel() if out else np.zeros(0, np.int64)
-        offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
-        sketch = pa.ListArray.from_arrays(offsets, pa.array(flat))
-        sketch = pa.compute.if_else(pa.array(np.concatenate(some)), sketch, pa.scalar(None, sketch.type)) if out else sketch
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch], names=["_id", "_text_key", "_sketch"])
+            maps.append(bitmaps(stop - start, who, shingle))
+            weights.append(np.bincount(who, weights=weight, minlength=stop - start))
+        size = np.concatenate(weights) if out else np.zeros(0)
+        sketch, bits = (_lists(np.concatenate(x) if x else np.zeros((0, 1), np.uint64)) for x in (out, maps))
+        sketch = pa.compute.if_else(pa.array(size > 0), sketch, pa.scalar(None, sketch.type))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch, bits, pa.array(size)], names=["_id", "_text_key", *SKETCHED])
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.astype(np.uint64).view(np.int64).ravel()))
 
 
 def similarity(a: str, b: str) -> float:
@@ -164,45 +187,47 @@ def _keyed(df: DataFrame, text: str, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.unhex(F.md5(body)).alias("_text_key"), body.alias("_text"))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """In how many components two packed sketches agree."""
-    lanes = [F.lit(0xFFFF << 16 * k if k < LANES - 1 else -(1 << 48)).cast("long") for k in range(LANES)]
-    both = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
-    return F.aggregate(both, F.lit(0), lambda n, x: n + sum(((x.bitwiseAND(lane) == 0).cast("int") for lane in lanes), F.lit(0)))
+def _may_be_alike(a: str, b: str, threshold: float) -> Column:
+    """may_be_alike() of the columns _bits and _size with the suffixes a and b."""
+
+    def inverse(p: str, q: str) -> Column:
+        alone = F.zip_with(f"_bits{p}", f"_bits{q}", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.col(f"_size{p}") / F.greatest(F.col(f"_size{p}") - F.aggregate(alone, F.lit(0), lambda n, x: n + x), F.lit(1e-9))
+
+    return inverse(a, b) + inverse(b, a) <= 1 + 1 / threshold + 1e-9
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sketches and then texts are similar, as edges."""
-    a, b = (nodes.select(F.col("node").alias(c), F.col("_sketch").alias(f"_s{c}")) for c in "ab")
-    near = pairs.distinct().join(a, "a").join(b, "b").where(_agreeing("_sa", "_sb") >= LEAST_AGREEING).select("a", "b")
+    """The pairs (a, b) whose texts are similar, as edges.  Texts are fetched for pairs whose bitmaps allow it."""
+    a, b = (nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("_bits", "_size"))) for c in "ab")
+    near = pairs.distinct().join(a, "a").join(b, "b").where(_may_be_alike("a", "b", threshold)).select("a", "b")
     a, b = (texts.select(F.col("node").alias(c), F.col("_text").alias(f"_t{c}")) for c in "ab")
     with few_rows(pairs.sparkSession, 128):
         return staged(near.join(a, "a").join(b, "b").select("a", "b", "_ta", "_tb").mapInArrow(tidy(lambda x: _verify(x, threshold)), "src long, dst long"), "links")
 
 
-def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (i outside the largest component, j) of one block pair that are worth a look at their texts, the most alike
     first, and in how many components each agrees.  A pair is looked at in the first band that it shares."""
     band = group.column("band")[0].as_py()
-    node, comp, side, out = (group.column(c).to_numpy() for c in ("node", "c", "side", "out"))
-    sketch = group.column("_sketch").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    node, comp, side, out, size = (group.column(c).to_numpy() for c in ("node", "c", "side", "out", "_size"))
+    sketch, bits = (group.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1) for c in ("_sketch", "_bits"))
     lanes = sketch.view(np.uint16)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     found = []
     for i in left.tolist():
-        agree = (lanes[right] == lanes[i]).sum(axis=1)
-        some = (agree >= LEAST_AGREEING) & (comp[right] != comp[i]) & (~out[right] | (node[right] > node[i]))
-        some[some] = (sketch[right[some], :band] != sketch[i, :band]).all(axis=1)
-        j = right[some]
-        found.append(np.stack([np.full(len(j), i), j, agree[some]]))
+        j = right[(comp[right] != comp[i]) & (~out[right] | (node[right] > node[i]))]
+        j = j[may_be_alike(bits[i], size[i], bits[j], size[j], threshold)]
+        j = j[(sketch[j, :band] != sketch[i, :band]).all(axis=1)]
+        found.append(np.stack([np.full(len(j), i), j, (lanes[j] == lanes[i]).sum(axis=1)]))
     i, j, agree = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     order = np.argsort(-agree, kind="stable")
     return i[order], j[order], agree[order]
 
 
-def _wanted(group: pa.Table) -> pa.Table:
+def _wanted(group: pa.Table, threshold: float) -> pa.Table:
     """The rows of one block pair that have a candidate."""
-    i, j, _ = _candidates(group)
+    i, j, _ = _candidates(group, threshold)
     return group.take(pa.array(np.unique(np.concatenate((i, j)))))
 
 
@@ -239,7 +264,7 @@ def _meet(group: pa.Table, threshold: float) -> pa.Table:
     node, comp = (group.column(c).to_numpy() for c in ("node", "c"))
     _, root = np.unique(comp, return_inverse=True)
     known = Shingled(texts_of(group.column("_text")))
-    i, j, _ = _candidates(group)
+    i, j, _ = _candidates(group, threshold)
     src, dst = [], []
     for a in np.unique(i).tolist():
         others = j[i == a]
@@ -303,32 +328,32 @@ def _cross_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, thresho
     """Links among the members (bucket, band, node, c) of buckets that hold several components: all that are outside the
     bucket's largest component against all, in buckets that have more than SPLIT of them by rare shingles.  A member
     stands in as many rows as the others fill blocks; texts are fetched only for members that have a candidate by their
-    sketches."""
-    spark, sketch = members.sparkSession, nodes.select("node", "_sketch")
+    bitmaps."""
+    spark, sketch = members.sparkSession, nodes.select("node", *SKETCHED)
     done = _mixed(members.withColumn("lead", F.lit(True)), sketch)
     large = done.where(F.col("outside") > SPLIT)
     if not large.isEmpty():
         done = done.where(F.col("outside") <= SPLIT).unionByName(_mixed(staged(_cut(large, texts, threshold), "cut"), sketch))
     blocks, others = (F.ceil(F.col(c) / k).cast("int") for c, k in (("outside", BLOCK), ("n", OTHERS)))
-    fields = ["bucket", "band", "node", "c", "out", "_sketch"]
+    fields = ["bucket", "band", "node", "c", "out", *SKETCHED]
     first = done.where("out").withColumn("p", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("side", F.lit(0))
     second = done.withColumn("p", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("q", F.pmod(F.xxhash64("node", F.lit(1)), others).cast("int")).withColumn("side", F.lit(1))
     dealt = first.select(*fields, "p", "q", "side").union(second.select(*fields, "p", "q", "side"))
-    schema = "bucket long, band int, node long, c long, out boolean, _sketch array<long>, p int, q int, side int"
-    wanted = staged(dealt.groupBy("bucket", "p", "q").applyInArrow(_wanted, schema), "wanted")
+    schema = f"bucket long, band int, node long, c long, out boolean, {_SKETCHED}, p int, q int, side int"
+    wanted = staged(dealt.groupBy("bucket", "p", "q").applyInArrow(lambda t: _wanted(t, threshold), schema), "wanted")
     with few_rows(spark, 512):
         return staged(wanted.join(texts, "node").groupBy("bucket", "p", "q").applyInArrow(lambda t: _meet(t, threshold), "src long, dst long"), "links")
 
 
 def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(_id, _text_key, node, component) of every row: rows of one component are near duplicates of each other.  The
-    bands and the number of components that must agree are made for thresholds of THRESHOLD and more."""
+    bands are made for thresholds of THRESHOLD and more."""
     if threshold < THRESHOLD:
         raise ValueError(f"the bands would lose links below {THRESHOLD}")
     kind = df.schema[id_col].dataType.simpleString()
-    rows = _keyed(df, text, id_col).mapInArrow(tidy(_sketch_batches), f"_id {kind}, _text_key binary, _sketch array<long>")
+    rows = _keyed(df, text, id_col).mapInArrow(tidy(_sketch_batches), f"_id {kind}, _text_key binary, {_SKETCHED}")
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    nodes = staged(rows.groupBy("_text_key").agg(F.min("_row").alias("node"), F.first("_sketch").alias("_sketch")), "nodes")
+    nodes = staged(rows.groupBy("_text_key").agg(F.min("_row").alias("node"), *(F.first(c).alias(c) for c in SKETCHED)), "nodes")
 
     banded = nodes.where("_sketch is not null").select("node", F.posexplode("_sketch").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -67,6 +67,13 @@ def test_hdbscan_beyond_a_matrix(spark, frames, monkeypatch, method):
     assert rows(found.extra["probabilities"]) == rows(want.extra["probabilities"])
 
 
+def test_single_linkage_beyond_a_matrix(spark, frames, monkeypatch):
+    known, plain = frames
+    want = hierarchy.agglomerative(plain, None, 0.5, "single")
+    monkeypatch.setattr(hierarchy, "MATRIX_LIMIT", N - 1)
+    assert rows(hierarchy.agglomerative(known, None, 0.5, "single").assignments) == rows(want.assignments)
+
+
 def test_items_that_do_not_fit_are_joined(spark, monkeypatch):
     from thicket.operators import packed
 

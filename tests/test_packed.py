@@ -84,6 +84,25 @@ def test_butina_reordered_without_edges(spark, frames, monkeypatch):
     assert rows(found.extra["centres"]) == rows(want.extra["centres"])
 
 
+FIGURES = {
+    "boundary": lambda f: report.boundary(f, 0.6),
+}
+
+
+@pytest.mark.parametrize("name", FIGURES)
+@pytest.mark.parametrize("empty", [1, 3])
+def test_figures_write_no_pairs(spark, monkeypatch, name, empty):
+    known, plain = both(spark, empty=empty)
+    labels = items(spark, empty=empty).selectExpr("idx", "coalesce(label, -1) as label")
+    want = FIGURES[name](report.frames(labels, plain)).collect()[0]
+    written, staged = [], report.staged
+    monkeypatch.setattr(report, "staged", lambda df, tag: written.append((tag, (out := staged(df, tag)).count())) or out)
+    found = FIGURES[name](report.frames(labels, known)).collect()[0]
+    assert np.allclose(np.array(found, float), np.array(want, float), atol=1e-12, equal_nan=True)
+    assert "pairs" not in dict(written)
+    assert max(c for _, c in written) < N * (N - 1) // 3
+
+
 def test_items_that_do_not_fit_are_joined(spark, monkeypatch):
     from thicket.operators import packed
 

@@ -1,21 +1,24 @@
 """A scorecard of any clustering over a complete pair frame, and comparison of scorecards.
 
-All figures come from three shared frames: labelled pairs, distances from each item to each cluster (the only aggregate
-over all pairs that is grouped), and the medoids.  What isn't defined is NaN.
+All figures come from shared frames: counts of equal distances inside and between clusters, distances from each item to
+each cluster, the medoids, and distances to the nearest medoid.  What isn't defined is NaN.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 from types import MappingProxyType
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import NAN, ClusterEngineError, PairFrame, exact_mean, members_of
 from ..sources.staging import staged
+from . import packed
 
 #: Thresholds of the three presets.
 PRESETS: dict[str, dict[str, Any]] = {
@@ -118,11 +121,66 @@ def profile(assignments: DataFrame, treat_noise_as_singletons: bool = True) -> D
 
 @dataclass(frozen=True)
 class Frames:
+    """What the figures are drawn from, each worked out when it is first asked for.  Distances of pairs come as counts
+    of equal ones; fingerprints are paired in the tasks that count, so that no pair is written."""
+
     pairs: PairFrame
     members: DataFrame  # label, pos, idx
-    labelled: DataFrame  # i, j, d, la, lb
-    to_cluster: DataFrame  # idx, own, other, mean, mx, n
-    medoids: DataFrame  # label, idx, mean, mx
+    method: str = "medoid"
+    metadata: DataFrame | None = None
+
+    @cached_property
+    def _packed(self) -> tuple[Any, np.ndarray, np.ndarray] | None:
+        """The fingerprints, and idx and label of the members; None if an item is in two clusters."""
+        if self.pairs.source is None:
+            return None
+        found = self.members.select("idx", F.col("label").cast("int")).toArrow()
+        idx, label = (found.column(k).to_numpy() for k in range(2))
+        return None if len(np.unique(idx)) < len(idx) else (self.pairs.source, idx, label)
+
+    @cached_property
+    def _labelled(self) -> DataFrame:
+        lab = self.members.select("idx", "label")
+        return self.pairs.df.join(lab.toDF("i", "la"), "i").join(lab.toDF("j", "lb"), "j")
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        """(label, d, c): how many pairs inside each cluster are d apart; those between clusters have no label."""
+        if self._packed:
+            return staged(packed.spread(self.members.sparkSession, *self._packed), "spread")
+        label = F.when(F.col("la") == F.col("lb"), F.col("la")).alias("label")
+        return staged(self._labelled.groupBy(label, "d").agg(F.count(F.lit(1)).alias("c")), "spread")
+
+    @cached_property
+    def to_cluster(self) -> DataFrame:
+        """(idx, own, other, mean, mx, n): from each item to the other members of each cluster."""
+        if self._packed:
+            return staged(packed.to_cluster(self.members.sparkSession, *self._packed), "to-cluster")
+        x = self._labelled
+        both = x.select(F.col("i").alias("idx"), F.col("la").alias("own"), F.col("lb").alias("other"), "d").union(x.select("j", "lb", "la", "d"))
+        return staged(both.groupBy("idx", "own", "other").agg(exact_mean(F.col("d")).alias("mean"), F.max("d").alias("mx"), F.count(F.lit(1)).alias("n")), "to-cluster")
+
+    @cached_property
+    def medoids(self) -> DataFrame:
+        """(label, idx, mean, mx)"""
+        own = self.to_cluster.where("own = other").select("idx", F.col("own").alias("label"), "mean", "mx")
+        every = self.members.join(own, ["label", "idx"], "left").select("label", "pos", "idx", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("mx", F.lit(0.0)).alias("mx"))
+        if self.method == "weighted" and self.metadata is not None:
+            every = every.join(self.metadata, "idx", "left")
+            score = F.col("mean") + F.coalesce("liability", F.lit(0.0)) - F.coalesce("priority", F.lit(0.0))
+        else:
+            score = F.col("mx" if self.method == "minimax" else "mean")
+        best = every.groupBy("label").agg(F.min_by(F.struct("idx", "mean", "mx"), F.struct(score, F.col("pos"))).alias("b"))
+        return staged(best.select("label", "b.*"), "medoids")
+
+    @cached_property
+    def to_medoid(self) -> DataFrame:
+        """(i, d): from each item to the nearest medoid other than itself."""
+        if self._packed:
+            centres = np.unique(self.medoids.select("idx").toArrow().column(0).to_numpy())
+            return staged(packed.to_nearest(self.members.sparkSession, self._packed[0], centres), "to-medoid")
+        near = self.pairs.symmetric().join(self.medoids.select(F.col("idx").alias("j")), "j", "left_semi")
+        return staged(near.groupBy("i").agg(F.min("d").alias("d")), "to-medoid")
 
 
 def frames(assignments: DataFrame, pairs: PairFrame, method: str = "medoid", members: DataFrame | None = None, metadata: DataFrame | None = None) -> Frames:
@@ -130,30 +188,17 @@ def frames(assignments: DataFrame, pairs: PairFrame, method: str = "medoid", mem
         raise ClusterEngineError("a report needs every pair")
     pairs.require()
     m = staged(members_of(assignments) if members is None else members, "members")
-    lab = m.select("idx", "label")
-    known = staged(pairs.df.select("i", "j", "d"), "pairs")
-    fixed = PairFrame(known, pairs.n, pairs.comparison, pairs.kind, True, None, pairs.params, pairs.labels)
-    labelled = staged(known.join(lab.toDF("i", "la"), "i").join(lab.toDF("j", "lb"), "j"), "labelled")
-    both = labelled.select(F.col("i").alias("idx"), F.col("la").alias("own"), F.col("lb").alias("other"), "d").union(labelled.select("j", "lb", "la", "d"))
-    to_cluster = both.groupBy("idx", "own", "other").agg(exact_mean(F.col("d")).alias("mean"), F.max("d").alias("mx"), F.count(F.lit(1)).alias("n"))
-    to_cluster = staged(to_cluster, "to-cluster")
-    own = to_cluster.where("own = other").select("idx", F.col("own").alias("label"), "mean", "mx")
-    every = m.join(own, ["label", "idx"], "left").select("label", "pos", "idx", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("mx", F.lit(0.0)).alias("mx"))
-    if method == "weighted" and metadata is not None:
-        every = every.join(metadata, "idx", "left")
-        score = F.col("mean") + F.coalesce("liability", F.lit(0.0)) - F.coalesce("priority", F.lit(0.0))
-    else:
-        score = F.col("mx" if method == "minimax" else "mean")
-    medoids = every.groupBy("label").agg(F.min_by(F.struct("idx", "mean", "mx"), F.struct(score, F.col("pos"))).alias("b")).select("label", "b.*")
-    return Frames(fixed, m, labelled, to_cluster, staged(medoids, "medoids"))
+    if pairs.source is None:
+        pairs = replace(pairs, df=staged(pairs.df.select("i", "j", "d"), "pairs"))
+    return Frames(pairs, m, method, metadata)
 
 
 def compactness(f: Frames) -> DataFrame:
     """mean/median intra distance, median radius, p95 diameter, median medoid-member distance."""
-    intra = f.labelled.where("la = lb")
-    a = intra.agg(nan(F.avg("d")).alias("mean_intra_distance"), nan(F.percentile("d", F.lit(0.5))).alias("median_intra_distance"))
+    intra = f.spread.where("label is not null")
+    a = intra.agg(nan(F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("mean_intra_distance"), nan(F.percentile("d", F.lit(0.5), F.col("c"))).alias("median_intra_distance"))
     labels = f.members.select("label").distinct()
-    diameters = labels.join(intra.groupBy(F.col("la").alias("label")).agg(F.max("d").alias("dia")), "label", "left")
+    diameters = labels.join(intra.groupBy("label").agg(F.max("d").alias("dia")), "label", "left")
     b = diameters.agg(nan(F.percentile(F.coalesce("dia", F.lit(0.0)), F.lit(0.95))).alias("p95_diameter"))
     c = f.medoids.agg(nan(F.percentile("mx", F.lit(0.5))).alias("median_radius"), nan(F.percentile("mean", F.lit(0.5))).alias("median_medoid_member_distance"))
     return _beside(a, b, c)
@@ -178,26 +223,23 @@ def silhouette(f: Frames) -> DataFrame:
 
 
 def dunn(f: Frames) -> DataFrame:
-    d = f.labelled.agg(F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("apart"), F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("wide"))
+    d = f.spread.agg(F.min(F.when(F.col("label").isNull(), F.col("d"))).alias("apart"), F.max(F.when(F.col("label").isNotNull(), F.col("d"))).alias("wide"))
     return d.select(nan(F.when(F.col("wide") > 0, F.col("apart") / F.col("wide"))).alias("dunn_index"))
 
 
 def boundary(f: Frames, threshold: float) -> DataFrame:
-    return f.labelled.agg(F.count_if((F.col("la") != F.col("lb")) & (F.col("d") <= threshold)).alias("boundary_violations"))
+    near = F.when(F.col("label").isNull() & (F.col("d") <= threshold), F.col("c"))
+    return f.spread.agg(F.coalesce(F.sum(near), F.lit(0)).alias("boundary_violations"))
 
 
 def redundancy(f: Frames) -> DataFrame:
-    ids = f.medoids.select("idx")
-    sym = f.pairs.symmetric()
-    near = sym.join(ids.toDF("i"), "i", "left_semi").join(ids.toDF("j"), "j", "left_semi").groupBy("i").agg(F.min("d").alias("d"))
+    near = f.to_medoid.join(f.medoids.select(F.col("idx").alias("i")).distinct(), "i", "left_semi")
     return near.agg(nan(F.percentile("d", F.lit(0.5))).alias("representative_redundancy"))
 
 
 def coverage(f: Frames, thresholds: tuple[float, ...]) -> DataFrame:
     """coverage_at (array): share of all items within each threshold of a medoid; empty without clusters."""
-    sym = f.pairs.symmetric()
-    near = sym.join(f.medoids.select(F.col("idx").alias("j")), "j", "left_semi").groupBy("i").agg(F.min("d").alias("d"))
-    items = f.pairs.items()
+    items, near = f.pairs.items(), f.to_medoid
     own = f.medoids.select("idx", F.lit(0.0).alias("zero"))
     every = items.join(near, items.idx == near.i, "left").join(own, "idx", "left").select(F.coalesce("zero", "d").alias("d"))
     one = every.agg(*[F.avg(F.when(F.col("d") <= t, 1.0).otherwise(0.0)).alias(f"c{k}") for k, t in enumerate(thresholds)], F.count("d").alias("known"))

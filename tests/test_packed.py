@@ -86,6 +86,7 @@ def test_butina_reordered_without_edges(spark, frames, monkeypatch):
 
 FIGURES = {
     "boundary": lambda f: report.boundary(f, 0.6),
+    "compactness": report.compactness,
 }
 
 

@@ -88,6 +88,7 @@ FIGURES = {
     "boundary": lambda f: report.boundary(f, 0.6),
     "compactness": report.compactness,
     "coverage": lambda f: report.coverage(f, (0.4, 0.5, 0.6)),
+    "dunn": report.dunn,
 }
 
 

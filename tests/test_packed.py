@@ -89,6 +89,7 @@ FIGURES = {
     "compactness": report.compactness,
     "coverage": lambda f: report.coverage(f, (0.4, 0.5, 0.6)),
     "dunn": report.dunn,
+    "redundancy": report.redundancy,
 }
 
 

@@ -90,6 +90,7 @@ FIGURES = {
     "coverage": lambda f: report.coverage(f, (0.4, 0.5, 0.6)),
     "dunn": report.dunn,
     "redundancy": report.redundancy,
+    "silhouette": report.silhouette,
 }
 
 

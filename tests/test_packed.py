@@ -108,6 +108,14 @@ def test_figures_write_no_pairs(spark, monkeypatch, name, empty):
     assert max(c for _, c in written) < N * (N - 1) // 3
 
 
+@pytest.mark.parametrize("empty", [1, 3])
+def test_nearest_shuffles_no_pairs(spark, empty):
+    known, plain = both(spark, empty=empty)
+    assert rows(pairs.core_distances(known, 5)) == rows(pairs.core_distances(plain, 5))
+    for df in (pairs.core_distances(known, 5),):
+        assert "Exchange" not in plan(df) and "Window" not in plan(df)
+
+
 def test_items_that_do_not_fit_are_joined(spark, monkeypatch):
     from thicket.operators import packed
 

@@ -111,8 +111,10 @@ def test_figures_write_no_pairs(spark, monkeypatch, name, empty):
 @pytest.mark.parametrize("empty", [1, 3])
 def test_nearest_shuffles_no_pairs(spark, empty):
     known, plain = both(spark, empty=empty)
+    assert rows(pairs.nearest(known, 5)) == rows(pairs.nearest(plain, 5))
+    assert rows(pairs.nearest(known, 2 * N)) == rows(pairs.nearest(plain, 2 * N))
     assert rows(pairs.core_distances(known, 5)) == rows(pairs.core_distances(plain, 5))
-    for df in (pairs.core_distances(known, 5),):
+    for df in (pairs.nearest(known, 5), pairs.core_distances(known, 5)):
         assert "Exchange" not in plan(df) and "Window" not in plan(df)
 
 

@@ -118,6 +118,15 @@ def test_nearest_shuffles_no_pairs(spark, empty):
         assert "Exchange" not in plan(df) and "Window" not in plan(df)
 
 
+@pytest.mark.parametrize("metric", ["tanimoto", "dice", "manhattan"])
+def test_pairs_of_fingerprints_without_a_join(spark, metric):
+    known, plain = both(spark, metric, empty=2)
+    assert rows(known.rounded(9)) == rows(plain.rounded(9))
+    assert rows(replace(known, df=known.rounded(9)).condensed()) == rows(replace(plain, df=plain.rounded(9)).condensed())
+    assert rows(known.cut(0.5).df) == rows(plain.cut(0.5).df)
+    assert "Join" not in plan(known.rounded(9))
+
+
 def test_items_that_do_not_fit_are_joined(spark, monkeypatch):
     from thicket.operators import packed
 

@@ -127,6 +127,13 @@ def test_pairs_of_fingerprints_without_a_join(spark, metric):
     assert "Join" not in plan(known.rounded(9))
 
 
+def test_similarity_without_a_join(spark):
+    x = items(spark, empty=2)
+    known = pairs.pdist(x, metrics.fingerprint("tanimoto", True), "fingerprint", "similarity")
+    assert rows(known.rounded(9)) == rows(pairs_by_blocks(x, metrics.fingerprint("tanimoto", True), N).rounded(9))
+    assert "Join" not in plan(known.rounded(9))
+
+
 def test_items_that_do_not_fit_are_joined(spark, monkeypatch):
     from thicket.operators import packed
 

@@ -134,6 +134,16 @@ def test_similarity_without_a_join(spark):
     assert "Join" not in plan(known.rounded(9))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_pairs_of_vectors_without_a_join(spark, metric):
+    data = [(k, [0.0] * 64 if k in (1, 2) else v) for k, v, _ in vectors()]
+    data[20] = (20, [x + 1e-7 for x in data[10][1]])
+    x = spark.createDataFrame(data, "idx long, vector array<double>")
+    known = pairs.pdist(x, metrics.vector(metric, 64), "vector")
+    assert rows(known.rounded(6)) == rows(pairs_by_blocks(x, metrics.vector(metric, 64), N).rounded(6))
+    assert "Join" not in plan(known.rounded(6))
+
+
 def test_items_that_do_not_fit_are_joined(spark, monkeypatch):
     from thicket.operators import packed
 

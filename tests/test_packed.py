@@ -134,6 +134,12 @@ def test_similarity_without_a_join(spark):
     assert "Join" not in plan(known.rounded(9))
 
 
+def test_mutual_reachability_without_a_join(spark):
+    known, plain = both(spark, empty=1)
+    assert rows(pairs.mutual_reachability(known, 5, 9)) == rows(pairs.mutual_reachability(plain, 5, 9))
+    assert "Join" not in plan(pairs.mutual_reachability(known, 5, 9))
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 def test_pairs_of_vectors_without_a_join(spark, metric):
     data = [(k, [0.0] * 64 if k in (1, 2) else v) for k, v, _ in vectors()]

@@ -187,3 +187,15 @@ def test_token_sets(spark, monkeypatch, heavy):
     assert {(x["i"], x["j"]): x["jaccard"] for x in links.collect()} == pytest.approx(want) and want
     got = {x["idx"]: x["n_links"] for x in pairs.link_counts(links, members).collect()}
     assert got == {k: sum(j != k and jac(sets[j], sets[k]) >= 0.6 for j in sets) for k in sets}
+
+
+def test_token_jaccard_orders_tokens_of_every_frequency(spark, monkeypatch):
+    """Tokens of middling frequency stay out of prefixes that rarer ones fill."""
+    monkeypatch.setattr(pairs, "HEAVY", 3, raising=False)
+    docs = [(k, [f"own{k}-{x}" for x in range(4)] + [f"mid{x}" for x in range(4)] + [f"all{x}" for x in range(3)]) for k in range(50)]
+    docs += [(k, [f"all{x}" for x in range(3)] + [f"odd{k}-{x}" for x in range(2)]) for k in range(50, 80)] + [(80, docs[0][1][1:])]
+    seen, staged = {}, pairs.staged
+    monkeypatch.setattr(pairs, "staged", lambda df, tag, **options: seen.setdefault((tag, len(seen)), staged(df, tag, **options)))
+    links, _ = pairs.token_jaccard(spark.createDataFrame(docs, "id long, tok array<string>"), "id", "tok", 0.8)
+    assert [(r["i"], r["j"], round(r["jaccard"], 6)) for r in links.collect()] == [(0, 80, round(10 / 11, 6))]
+    assert max(r["count"] for r in next(df for (tag, _), df in seen.items() if tag == "prefixes").groupBy("t").count().collect()) == 2
